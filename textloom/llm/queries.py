@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_order_minhash": "fingerprints",
     "op2_signature_sniffing": "media",
+    "op3_license_rules": "licenses",
     "op4_cost_balanced_packing": "packing",
     "op7_sainte_lague_mixing": "mixing",
     "op10_separator_scan": "separators",
