@@ -12,7 +12,10 @@ MODULES = {
     "op2_signature_sniffing": "media",
     "op3_license_rules": "licenses",
     "op4_cost_balanced_packing": "packing",
+    "op5_zstd_novelty": "secrets",
+    "op6_positive_unlabelled": "quality",
     "op7_sainte_lague_mixing": "mixing",
+    "op9_counterfactual_toxicity": "toxicity",
     "op10_separator_scan": "separators",
 }
 
