@@ -15,6 +15,7 @@ MODULES = {
     "op5_zstd_novelty": "secrets",
     "op6_positive_unlabelled": "quality",
     "op7_sainte_lague_mixing": "mixing",
+    "op8_setsketch_near_duplicates": "near_duplicates",
     "op9_counterfactual_toxicity": "toxicity",
     "op10_separator_scan": "separators",
 }
