@@ -17,14 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import emitted, rows, table, texts
 
 K, SKETCHES, LENGTH = 16, 40, 2
 #: Documents of one run of neighbours, and the most runs; both only shape the work.
-RUN_ROWS, MOST_RUNS = 1000, 100_000
+RUN_ROWS, MOST_RUNS = 1000, 20_000
 #: Expected candidates for the LENGTH smallest of a sketch; a sketch that finds fewer than LENGTH is done in full.
 CANDIDATES, BLOCK = 12, 1024
 
@@ -122,8 +122,7 @@ def runs(docs: DataFrame) -> DataFrame:
         cuts = sorted(set(docs.approxQuantile("doc_id", [i / count for i in range(1, count)], 0.2 / count)))
     run = F.lit(0)
     if cuts:
-        borders = F.array(*[F.lit(int(c)) for c in cuts]) if len(cuts) <= 500 else F.lit(cuts).cast("array<long>")
-        run = F.coalesce(_rank(F.col("doc_id"), borders, len(cuts)), F.lit(0))
+        run = F.coalesce(_rank(F.col("doc_id"), F.lit([int(c) for c in cuts]), len(cuts)), F.lit(0))
     docs = docs.select(run.cast("int").alias("run"), F.lit(False).alias("ahead"), "doc_id", "text")
     firsts = docs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls")).sort("run").collect()
     following = [(r.run, None if firsts[0].nulls and j == 0 else firsts[j].first) for i, r in enumerate(firsts) for j in [(i + 1) % len(firsts)]]
@@ -132,14 +131,10 @@ def runs(docs: DataFrame) -> DataFrame:
     return docs.unionByName(ahead).repartition("run").sortWithinPartitions("run", "ahead", "doc_id", F.xxhash64("text"))
 
 
-def _rank(value, borders, n: int):
-    """How many of the sorted borders are at most value, by bisection."""
-    low, step = F.lit(0), 1 << (n.bit_length() - 1)
-    while step:
-        there = low + F.lit(step)
-        low = F.when((there <= n) & (F.get(borders, there - 1) <= value), there).otherwise(low)
-        step >>= 1
-    return low
+def _rank(value: Column, borders: Column, n: int) -> Column:
+    """How many of the n sorted borders are at most value, by bisection."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= n) & (F.get(borders, low + step - 1) <= value), low + step).otherwise(low))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
