@@ -121,5 +121,37 @@ def mix(docs: DataFrame, *keep: str, seed: int = SEED) -> DataFrame:
     return docs.select(*keep, *[c for c in ("doc_id",) if c not in keep], "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"))
 
 
+def taken_rows(docs: DataFrame) -> DataFrame:
+    """docs as the mix takes them: a row for each whole copy, and one with the text's first words for a part of one.
+
+    The same columns; n_chars, where there is one, is counted again for the parts. A text without words is not taken.
+    """
+    names = docs.columns
+    inner = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"))
+    got = mix(inner, "_row").where("taken > 0")
+    got = got.select("_row", "size", "taken", F.explode(F.expr("sequence(1L, cast(ceil(taken / size) as bigint))")).alias("_copy"))
+    words_left = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size"))
+    text = F.col("_row.text").cast("string")
+    # the word numbered words_left ends where the text without its first words_left words begins
+    shown = F.when(words_left == F.col("size"), text).otherwise(_leading(text, words_left))
+    out = []
+    for n in names:
+        if n == "text":
+            out.append(shown.alias(n))
+        elif n == "n_chars":
+            out.append(F.when(words_left == F.col("size"), F.col("_row.n_chars")).otherwise(F.char_length(shown)).cast(docs.schema[n].dataType).alias(n))
+        else:
+            out.append(F.col(f"_row.`{n}`").alias(n))
+    return got.select(*out)
+
+
+def _leading(text: Column, count: Column) -> Column:
+    """A text's first words, with the white space before and between them."""
+    gaps = F.split(text, WORD, -1)
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    head = F.zip_with(F.slice(gaps, 1, count.cast("int")), F.slice(found, 1, count.cast("int")), lambda a, b: F.concat(a, b))
+    return F.array_join(head, "")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

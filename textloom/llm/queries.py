@@ -32,7 +32,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(module) for name, module in MODULES.items()}
+    return {name: _query(module) for name, module in MODULES.items()} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
