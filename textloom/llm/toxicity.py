@@ -96,11 +96,21 @@ class Model(NamedTuple):
 
 
 def hashed(name: str) -> int:
-    return crc32(name.encode("utf-8", "surrogatepass"))
+    """Signed, so that a sample's features take four bytes each."""
+    return crc32(name.encode("utf-8", "surrogatepass")) - (1 << 31)
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray | None]:
+    """Lists of a column as views of its buffers."""
+    out: list[np.ndarray | None] = []
+    for c in column.chunks:
+        values, at, null = c.values.to_numpy(), c.offsets.to_numpy(), c.is_null().to_numpy(zero_copy_only=False)
+        out += [None if null[i] else values[at[i] : at[i + 1]] for i in range(len(c))]
+    return out
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("label", pa.int32()), ("own", pa.list_(pa.int64())), ("other", pa.list_(pa.int64()))])
+    schema = pa.schema([("label", pa.int32()), ("own", pa.list_(pa.int32())), ("other", pa.list_(pa.int32()))])
     hashes = lambda words: sorted({hashed(f) for f in features(words)})
 
     def found() -> Iterator[tuple]:
@@ -118,10 +128,16 @@ def fit(y: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None]) ->
     share = (y.sum() + 0.5) / (len(y) + 1)
     if len(y) == 0 or y.min() == y.max():
         return float(np.log(share / (1 - share))), {}
-    names, flat = np.unique(np.concatenate(own), return_inverse=True)
-    of = np.repeat(y, [len(x) for x in own])
-    p = np.bincount(flat, weights=of, minlength=len(names))
-    n = np.bincount(flat, minlength=len(names)) - p
+    # features of positives that occur more than once there, and how often they do elsewhere
+    names, p = np.unique(np.concatenate([x for x, k in zip(own, y, strict=True) if k]), return_counts=True)
+    names, p = names[p > 1], p[p > 1].astype(float)
+    if not len(names):
+        return float(np.log(share / (1 - share))), {}
+    n = np.zeros(len(names))
+    for x, k in zip(own, y, strict=True):
+        if not k:
+            at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+            n[at[names[at] == x]] += 1
     pos, neg = y.sum(), len(y) - y.sum()
     odds = np.log((p + 0.5) / (pos - p + 0.5)) - np.log((n + 0.5) / (neg - n + 0.5))
     term = lambda seen, of: seen * np.log(np.maximum(seen, 1e-9) / ((p + n) * of / len(y)))
@@ -155,9 +171,8 @@ def fit(y: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None]) ->
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     sample = labelled(texts(docs), labels, "toxic", bound)
-    got = sample.select("label", "text").mapInArrow(_extract, "label int, own array<long>, other array<long>").toArrow()
-    as_arrays = lambda c: [None if x is None else np.array(x, np.int64) for x in got.column(c).to_pylist()]
-    bias, weights = fit(np.array(got.column("label").to_pylist(), float), as_arrays("own"), as_arrays("other"))
+    got = sample.select("label", "text").mapInArrow(_extract, "label int, own array<int>, other array<int>").toArrow()
+    bias, weights = fit(np.array(got.column("label").to_pylist(), float), _arrays(got.column("own")), _arrays(got.column("other")))
     if not weights:
         return Model(bias, {})
 
