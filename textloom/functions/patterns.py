@@ -15,6 +15,9 @@ _CLASSES = {
     "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
 }
 _SPACE = r"\t\n\f\r "
+#: Borders of ASCII words, which the JVM's own escapes don't stand for.
+_W = "[0-9A-Za-z_]"
+_BORDER, _NO_BORDER = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))", rf"(?:(?<={_W})(?={_W})|(?<!{_W})(?!{_W}))"
 
 
 def _parts(pattern: str) -> list[str]:
@@ -44,6 +47,8 @@ def _translated(pattern: str, java: bool) -> str | None:
                 out.append(_SPACE if inside else f"[{_SPACE}]")
             elif c == "S" and not inside:
                 out.append(f"[^{_SPACE}]")
+            elif c in "bB" and java and not inside:
+                out.append(_BORDER if c == "b" else _NO_BORDER)
             elif c == "z":
                 out.append(r"\z" if java else r"\Z")
             elif c == "Z":

@@ -125,7 +125,7 @@ def files(spark: SparkSession, root: str, extensions: list[str] | None = None, l
             df = df.where(~F.col("path").rlike(made))
     df = text_only(df, binary, minified)
     name = F.element_at(F.split("path", "/"), -1)
-    df = df.select("path", name.alias("filename"), extension_of(name).alias("extension"), F.decode("raw", F.lit("UTF-8")).alias("content"), F.octet_length("raw").cast("long").alias("bytes"))
+    df = df.select("path", name.alias("filename"), extension_of(name).alias("extension"), F.make_valid_utf8(F.col("raw").cast("string")).alias("content"), F.octet_length("raw").cast("long").alias("bytes"))
     df = df.withColumn("language", language_of("filename", "extension")).withColumn("complexity", newlines("content"))
     return df.select("path", "filename", "language", "extension", "content", "complexity", "bytes")
 
@@ -136,7 +136,7 @@ def text_only(df: DataFrame, binary: bool = False, minified: bool = False, raw:
     if not binary:
         df = df.where(~F.contains(F.substring(raw, 1, NUL_WITHIN), F.lit(b"\0")))
     if not minified:
-        lines = F.size(F.split(F.decode(F.col(raw).cast("binary"), F.lit("ISO-8859-1")), "\n"))
+        lines = F.size(F.split(F.decode(F.col(raw).cast("binary"), "ISO-8859-1"), "\n"))
         df = df.where(F.octet_length(raw) < (MINIFIED + 1) * lines)
     return df
 
