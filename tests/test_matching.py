@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from textloom.functions import languages as L
+from textloom.functions.highlight import as_ansi, as_html, kinds, marked_runs
 from textloom.functions.lexical import annotated, classes, stats
 from textloom.functions.matching import fuzzy_spans, fuzzy_windows, levenshtein_bytes, literal_spans, lowered, phrase_term, regex_spans
 from textloom.functions.patterns import glob_regex, java_regex, path_glob_regex, python_regex
@@ -165,3 +166,16 @@ def test_annotated():
     assert [x["on_declaration"] for x in got] == [False, True, False, False, False]
     assert L.snippet_mode("md") == "snippet" and L.snippet_mode("go") == "lines" and L.snippet_mode("go", "grep") == "grep"
     assert L.is_stopword("FUNC", "Go") and not L.is_stopword("handler", "Go") and not L.is_stopword("if", "")
+
+
+def test_highlighting():
+    line = 'func Handler(x) { return "a\\"b" + 12 } // é <note>'
+    runs = kinds(line)
+    assert "".join(line[s:e] for s, e, _ in runs) == line
+    named = {line[s:e]: k for s, e, k in runs}
+    assert (named["func"], named["Handler"], named["x"], named["12"], named['"a\\"b"'], named["// é <note>"]) == ("keyword", "type", "plain", "number", "string", "comment")
+    at = line.encode().find(b"note")
+    assert as_html(line, [(at, at + 4)]).endswith("é &lt;</span><strong>note</strong><span class=\"comment\">&gt;</span>")
+    assert as_html("a<b", [(0, 1)]) == "<strong>a</strong>&lt;b"
+    assert as_html("") == "" and as_ansi("return x") == "\033[38;5;75mreturn\033[0m x"
+    assert "".join(t for t, _ in marked_runs(line, [(0, 3), (2, 9), (99, 120)])) == line

@@ -276,6 +276,9 @@ def test_search_and_rendering(six, code):
     answer = eng.envelope(top.select("path"), 4, "cat OR dog", 0, 2)
     assert (answer["total"], answer["returned"], answer["next_offset"], answer["hint"]) == (4, 2, 2, None)
     assert "ANDed" in eng.envelope(top.limit(0), 0, "aaa bbb")["hint"]
+    assert eng.pages(25, 1) == [{"number": 0, "current": False}, {"number": 1, "current": True}] and eng.pages(0) == []
+    with eng.cancellable(six.sparkSession, "one") as stop:
+        assert six.count() == 6 and callable(stop)
     assert eng.as_text(top).first()[0].endswith(")")
 
 

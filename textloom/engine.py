@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.languages import PROSE
@@ -252,10 +253,28 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(F.format_string("%s (%.3f)", "path", "score").alias("value"))
 
 
+def pages(total: int, current: int = 0, size: int = 20) -> list[dict]:
+    """The pages of a result, and which of them is shown."""
+    count = results.page_count(total, size)
+    current = current if 0 <= current < count else 0
+    return [{"number": i, "current": i == current} for i in range(count)]
+
+
+@contextmanager
+def cancellable(spark: SparkSession, name: str) -> Iterator[Callable[[], None]]:
+    """Runs what is inside as jobs of one group; calling what it gives, from another thread, stops them."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name, interruptOnCancel=True)
+    try:
+        yield lambda: sc.cancelJobGroup(name)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def checked(names: dict, known: set[str]) -> None:
     """Raises TypeError, in order, for parameters that a caller made up."""
     if unknown := sorted(set(names) - known):
         raise TypeError(f"unknown parameters: {', '.join(unknown)}")
 
 
-__all__ = ["Engine", "Found", "InvalidQueryError", "Keyword", "Options", "Phrase", "as_json", "as_text", "as_vimgrep", "checked", "envelope", "kept_matches", "term_of", "two_phase"]
+__all__ = ["Engine", "Found", "InvalidQueryError", "Keyword", "Options", "Phrase", "as_json", "as_text", "as_vimgrep", "cancellable", "checked", "envelope", "kept_matches", "pages", "term_of", "two_phase"]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom import engine as eng
 from textloom.engine import Engine, Options
+from textloom.functions import highlight
 from textloom.functions.lexical import byte_classes, code_stats
 from textloom.functions.matching import levenshtein_bytes, locate
 from textloom.operators import lines, postings, ranking, results, snippets
@@ -260,6 +261,8 @@ add("snippets", lambda s, d: _licensed(s, d).select("path", F.inline(snippets.sn
 add("search_results", lambda s, d: Engine().rendered(Engine().search(docs(s, d), "thintion OR menttre", Options(limit=10))).select("path", F.round("score", 6).alias("score"), F.size("snippets").alias("n")), None)
 add("json_results", lambda s, d: eng.as_json(results.top(_scores(s, d, _plain), 5).select("path")), f"SELECT '{{\"path\":\"' || path || '\"}}' AS value FROM (SELECT path FROM {BM25} ORDER BY score DESC, path LIMIT 5)")
 
+add("html_lines", lambda s, d: lines.grep(_licensed(s, d)).select("path", "line", highlight.html(F.col("content"), F.col("locs")).alias("html")), None)
+
 # --- fixtures: what the tables don't hold
 SIX = [
     ("src/main/file1.go", "file1.go", "Go", "go", "A brown cat is in the house.", 2),
