@@ -2,13 +2,14 @@
 
 Each text's set of word shingles becomes REGISTERS registers: truncated minima of exponential hashes on a scale of powers of
 BASE, which merge by maximum and agree the more often the more two sets share. Equal sets are one class. Bands of ROWS registers
-deal classes into buckets. Within a bucket every class meets the leader (the smallest), and where that leaves a bucket
-with several components, classes of different components meet in blocks. Those whose Jaccard similarity, estimated
-jointly by likelihood from registers and set sizes, may reach the threshold are verified on their full sets.
+deal classes into buckets. Within a bucket every class meets the leader, the class with most copies; their Jaccard
+similarity is estimated jointly by likelihood from registers and set sizes, and what may reach the threshold is verified on the full
+sets. Where that leaves a bucket with several components, their classes meet in blocks, by registers. Components with classes
+that may be linked form a family, and within a family classes of different components meet in blocks, by full sets.
 
-No pairs are listed within a bucket: meeting the leader is one row for each member, and blocks compare registers in memory and
-give only pairs that the estimate can't refuse. Blocks hold BLOCK rows of each side; a bucket of any size is as many
-blocks as it needs, and classes already joined to the leader don't meet each other.
+No pairs are listed within a bucket or a family: meeting the leader is one row for each member, and blocks compare in memory and
+give only pairs that join components. A block holds BLOCK rows of each side at most; a bucket of any size is as many blocks as it needs,
+and classes already in the leader's component don't meet each other.
 
 Links of similarity 0.8 share a bucket but for one in 10^7, and the estimate refuses one in 10^6; what is linked is exact.
 Shingles are compared by 64-bit hashes.
@@ -20,10 +21,10 @@ linked with nothing; repeated rows of a doc_id have the same component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,9 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 WORDS, LEAST = 5, 80
 #: How far below the threshold an estimate may lie, in its standard deviations.
 DOUBT = 5.0
-BLOCK = 512
+BLOCK, SHINGLES = 512, 500_000
+#: Pairs that are looked at in one go, and whose registers are.
+PAIRS, CHUNK = 1 << 18, 1 << 13
 #: Most ids that are sent to all executors; more are joined by shuffling.
 MOST_IDS = 2_000_000
 MEMO = 400_000
@@ -205,67 +208,201 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return pairs.mapInArrow(each, "a long, b long")
 
 
-def _within_blocks(mixed: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of different components that the estimate can't refuse, of rows (key, x, y, core, id, comp, n, registers).
+class _Rows(NamedTuple):
+    """Rows of whole blocks: which component and side, the set's size, its registers or shingles, and where each block starts."""
 
-    A group is a block: rows of one side against rows of the other, or against each other where x = y.
+    comp: np.ndarray
+    side: np.ndarray
+    n: np.ndarray
+    value: list[bytes]
+    starts: np.ndarray
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Of each block, rows of the smaller and of the larger side; where there is one side, its rows twice and True."""
+        for s, e in zip(self.starts.tolist(), [*self.starts[1:].tolist(), len(self.comp)], strict=True):
+            side = self.side[s:e]
+            a, b = np.flatnonzero(side == 0) + s, np.flatnonzero(side == 1) + s
+            if not len(a) or not len(b):
+                a = a if len(a) else b
+                yield a, a, True
+            else:
+                yield (a, b, False) if len(a) <= len(b) else (b, a, False)
+
+
+class _Forest:
+    """Which components a task has joined so far."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        p = self.parent
+        while (up := p.get(x, x)) != x:
+            p[x] = x = p.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _by_block(blocks: DataFrame, value: str, pairs: Callable[[_Rows], Iterator[np.ndarray]]) -> DataFrame:
+    """Pairs (a, b) that join all components that a function joins, from rows (key, x, y, side, comp, n, value), block by block.
+
+    Blocks are brought together by a sort and cut out of Arrow batches, many small ones at once; a block that a batch ends in is carried
+    on. A task gives a pair only if it joins what none before has, and what is joined isn't compared again: it gives fewer pairs
+    than it has components.
     """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ["key", "x", "y", "side", "comp", "n"]
+
+    def made(ints: np.ndarray, values: list[bytes], starts: np.ndarray, forest: _Forest) -> Iterator[pa.RecordBatch]:
+        comp = np.fromiter(map(forest.root, ints[4].tolist()), np.int64, ints.shape[1])
+        got = []
+        for found in pairs(_Rows(comp, ints[3], ints[5], values, starts)):
+            got += [p for p in np.unique(np.sort(found, axis=1), axis=0).tolist() if forest.join(*p)]
+        if got:
+            a, b = np.array(got, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        held, held_values = np.zeros((6, 0), np.int64), []
+        for batch in batches:
+            own = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
+            ints, values = np.concatenate([held, own], axis=1), held_values + batch.column(value).to_pylist()
+            new = np.flatnonzero((ints[:3, 1:] != ints[:3, :-1]).any(axis=0)) + 1
+            if len(new):
+                yield from made(ints[:, : new[-1]], values[: new[-1]], np.append([0], new[:-1]), forest)
+                ints, values = ints[:, new[-1] :], values[new[-1] :]
+            held, held_values = ints, values
+        if held_values:
+            yield from made(held, held_values, np.zeros(1, np.int64), forest)
+
+    dealt = blocks.select(*names, value).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return dealt.mapInArrow(each, "a long, b long").distinct()
+
+
+def _index_pairs(rows: _Rows) -> Iterator[np.ndarray]:
+    """Pairs of rows (2 x n) that meet in a block, in portions of bounded size."""
+    held, size = [], 0
+    for left, right, alone in rows.blocks():
+        step = max(1, PAIRS // len(right))
+        for at in range(0, len(left), step):
+            part = left[at : at + step]
+            i, j = np.repeat(part, len(right)), np.tile(right, len(part))
+            if alone:
+                i, j = i[i < j], j[i < j]
+            held.append(np.stack([i, j]))
+            size += len(i)
+            if size >= PAIRS:
+                yield np.concatenate(held, axis=1)
+                held, size = [], 0
+    if size:
+        yield np.concatenate(held, axis=1)
+
+
+def _likely_components(blocks: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of components that have classes in a common bucket whose estimate can't refuse them."""
     floor = doubtful(least)
     same_at_least = int(REGISTERS * (floor - 2 * (0.25 / REGISTERS) ** 0.5))
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(len(pdf), REGISTERS)
-        ids, comp, n, side = (pdf[c].to_numpy() for c in ("id", "comp", "n", "side"))
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = not len(right)
-        if alone:
-            right = left
-        out: list[np.ndarray] = []
-        for k, i in enumerate(left.tolist()):
-            other = right[k + 1 :] if alone else right
-            small, large = np.minimum(n[i], n[other]), np.maximum(n[i], n[other])
-            other = other[(comp[other] != comp[i]) & (100 * small >= least * large)]
-            if len(other):
-                other = other[(regs[other] == regs[i]).sum(1) >= same_at_least]
-            if len(other):
-                likely = likely_similarity((regs[i] > regs[other]).sum(1), (regs[i] < regs[other]).sum(1), np.full(len(other), n[i]), n[other])
-                other = other[likely >= floor]
-                out.append(np.stack([np.full(len(other), ids[i]), ids[other]], 1))
-        got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": got.min(1, initial=np.iinfo(np.int64).max), "b": got.max(1, initial=np.iinfo(np.int64).min)})
-
-    return mixed.groupBy("key", "x", "y").applyInPandas(each, "a long, b long").distinct()
-
-
-def _blocks(members: DataFrame, leaders: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of the blocks of all buckets that hold several components.
-
-    Core rows are those in the leader's component; they meet the rest, and the rest meet each other.
+    def pairs(rows: _Rows) -> Iterator[np.ndarray]:
+        regs = np.frombuffer(b"".join(rows.value), np.uint16).reshape(-1, REGISTERS)
+        comp, n = rows.comp, rows.n
+        for i, j in _index_pairs(rows):
+            near = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
+            i, j = i[near], j[near]
+            for at in range(0, len(i), CHUNK):
+                p, q = i[at : at + CHUNK], j[at : at + CHUNK]
+                near = np.count_nonzero(regs[p] == regs[q], axis=1) >= same_at_least
+                p, q = p[near], q[near]
+                if len(p):
+                    likely = likely_similarity((regs[p] > regs[q]).sum(1), (regs[p] < regs[q]).sum(1), n[p], n[q]) >= floor
+                    yield np.stack([comp[p[likely]], comp[q[likely]]], 1)
+
+    return _by_block(blocks, "registers", pairs)
+
+
+def _linked_components(blocks: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of components with classes that are linked, by full sets.
+
+    One side's sets are indexed by shingle, so that a set of the other side meets all of them at once.
+    """
+
+    def pairs(rows: _Rows) -> Iterator[np.ndarray]:
+        comp, n = rows.comp, rows.n
+        sets = [np.frombuffer(x, np.uint64) for x in rows.value]
+        for left, right, _ in rows.blocks():
+            owners = np.repeat(np.arange(len(right)), n[right])
+            flat = np.concatenate([sets[j] for j in right])
+            order = np.argsort(flat, kind="stable")
+            known, first = np.unique(flat[order], return_index=True)
+            owners, last = owners[order], np.append(first[1:], len(flat))
+            right_comp, right_n = comp[right], n[right]
+            for i in left.tolist():
+                at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+                at = at[known[at] == sets[i]]
+                if not len(at):
+                    continue
+                sizes = last[at] - first[at]
+                take = np.repeat(first[at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+                common = np.bincount(owners[take], minlength=len(right))
+                hit = (100 * common >= least * (n[i] + right_n - common)) & (right_comp != comp[i])
+                if hit.any():
+                    others = np.unique(right_comp[hit])
+                    yield np.stack([np.full(len(others), comp[i]), others], 1)
+
+    return _by_block(blocks, "set", pairs)
+
+
+def _dealt(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks (key, x, y, side, id, comp) of members (key, id, comp, n, core), and a written table to drop afterwards.
+
+    Core rows, of one component, meet the rest; the rest meet each other. Chunks are so many that none has more than about BLOCK rows or SHINGLES
+    shingles.
     """
-    of = roots.select(F.col("node").alias("id"), F.col("root").alias("comp"))
-    members = members.join(of, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    own = roots.select(F.col("node").alias("leader"), F.col("root").alias("core_comp"))
-    leaders = leaders.join(own, "leader", "left").withColumn("core_comp", F.coalesce("core_comp", "leader"))
-    members = members.join(leaders.select("key", "core_comp"), "key").withColumn("core", F.col("comp") == F.col("core_comp")).select("key", "id", "comp", "core")
-    members = written(members, "members")
-    counts = members.groupBy("key").agg(F.sum(F.col("core").cast("long")).alias("n_core"), F.sum((~F.col("core")).cast("long")).alias("n_rest")).where("n_rest > 0")
-    counts = written(counts.select("key", F.expr(f"int(ceil(n_core / {BLOCK}))").alias("g_core"), F.expr(f"int(ceil(n_rest / {BLOCK}))").alias("g_rest")), "mixed")
+    chunks = lambda which: F.greatest(F.ceil(F.sum(which.cast("long")) / BLOCK), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / SHINGLES)).cast("int")
+    counts = members.groupBy("key").agg(chunks(F.col("core")).alias("g_core"), chunks(~F.col("core")).alias("g_rest")).where("g_rest > 0 and not (g_core = 0 and g_rest = 0)")
+    counts = written(counts, "mixed")
     mixed = members.join(counts, "key")
     draw = lambda g: F.pmod(F.xxhash64("id"), g).cast("int")
-    # a core chunk stands against each chunk of the rest; x < 0 marks it
+    # a chunk of the core stands against each chunk of the rest: x < 0 marks it
     core = mixed.where("core").select("key", (-1 - draw(F.col("g_core"))).alias("x"), F.explode(F.sequence(F.lit(0), F.col("g_rest") - 1)).alias("y"), F.lit(0).alias("side"), "id", "comp")
     rest = mixed.where("not core").withColumn("c", draw(F.col("g_rest")))
     to_core = rest.where("g_core > 0").select("key", F.explode(F.sequence(-F.col("g_core"), F.lit(-1))).alias("x"), F.col("c").alias("y"), F.lit(1).alias("side"), "id", "comp")
     each_other = rest.select("key", "c", F.explode(F.sequence(F.lit(0), F.col("g_rest") - 1)).alias("d"), "id", "comp")
     each_other = each_other.select("key", F.least("c", "d").alias("x"), F.greatest("c", "d").alias("y"), F.when(F.col("c") <= F.col("d"), 0).otherwise(1).alias("side"), "id", "comp")
-    out = core.unionByName(to_core).unionByName(each_other)
-    return out.join(sets.select("id", "n", "registers"), "id"), [members, counts]
+    return core.unionByName(to_core).unionByName(each_other), counts
+
+
+def _of(roots: DataFrame, column: str, to: str) -> DataFrame:
+    return roots.select(F.col("node").alias(column), F.col("root").alias(to))
+
+
+def _bucket_members(members: DataFrame, leaders: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, id, comp, n, core) of the buckets that hold several components; core is the leader's."""
+    members = members.join(_of(roots, "id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(sizes, "id")
+    leaders = leaders.join(_of(roots, "leader", "top"), "leader", "left").select("key", F.coalesce("top", "leader").alias("top"))
+    return written(members.join(leaders, "key").select("key", "id", "comp", "n", (F.col("comp") == F.col("top")).alias("core")), "members")
+
+
+def _family_members(pairs: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, id, comp, n, core) of the components in pairs; the key is the family, core its largest component."""
+    families = components(pairs)
+    named = families.select(F.col("node").alias("comp"), F.col("root").alias("key")).unionByName(families.select(F.col("root").alias("comp"), F.col("root").alias("key")).distinct())
+    rows = sizes.join(_of(roots, "id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(named, "comp")
+    largest = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top")).select("key", F.col("top.comp").alias("top"))
+    out = written(rows.join(largest, "key").select("key", "id", "comp", "n", (F.col("comp") == F.col("top")).alias("core")), "family")
+    dropped(pairs.sparkSession, families)
+    return out
 
 
 def classes(sketched: DataFrame) -> DataFrame:
-    """id (the smallest doc_id), n, registers of each distinct nonempty set."""
-    found = sketched.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min_by("registers", "doc_id").alias("registers"))
-    return found.select("id", "registers")
+    """id (the smallest doc_id), copies, registers of each distinct nonempty set."""
+    found = sketched.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("registers", "doc_id").alias("registers"))
+    return found.select("id", "copies", "registers")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -276,28 +413,33 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     sketched = written(sketches(docs, words), "sketches")
     ids = written(classes(sketched), "classes")
     width = 2 * ROWS
-    bands = ids.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.substring("registers", j * width + 1, F.lit(width)))).alias("band", "part"))
-    bands = bands.select(F.xxhash64("band", "part").alias("key"), "id")
-    leaders = written(bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"), "leaders")
-    members = written(bands.join(leaders, "key"), "bucketed")
+    bands = ids.select("id", "copies", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.substring("registers", j * width + 1, F.lit(width)))).alias("band", "part"))
+    bands = bands.select(F.xxhash64("band", "part").alias("key"), "id", (-F.col("copies")).alias("down"))
+    leaders = bands.groupBy("key").agg(F.min(F.struct("down", "id")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    leaders = written(leaders.select("key", F.col("top.id").alias("leader"), F.col("top.down").alias("down")), "leaders")
+    members = written(bands.select("key", "id").join(leaders, "key"), "bucketed")
     named = written(members.select("id").distinct(), "named")
     sets = written(_sets(docs, named, words).dropDuplicates(["id"]), "sets")
-    # each class meets the smallest of its leaders, and then those of other components
+    sizes = sets.select("id", "n")
+    # each class meets the best of its leaders, and then those of other components
     meets = members.where("id != leader")
-    first = written(_verified(meets.groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")), sets, least), "first")
+    best = meets.groupBy(F.col("id").alias("b")).agg(F.min(F.struct("down", "leader")).alias("top")).select(F.col("top.leader").alias("a"), "b")
+    first = written(_verified(best, sets, least), "first")
     roots = components(first)
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    more = meets.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    more = meets.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct().join(_of(roots, "a", "root_a"), "a", "left").join(_of(roots, "b", "root_b"), "b", "left")
     more = more.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     second = written(_verified(more, sets, least), "second")
     roots = components(second, roots)
-    blocks, used = _blocks(members.select("key", "id"), leaders, roots, sets)
-    pairs = written(_within_blocks(blocks, least), "pairs")
-    third = written(_verified(pairs, sets, least), "third")
+    in_buckets = _bucket_members(members.select("key", "id"), leaders.select("key", "leader"), roots, sizes)
+    blocks, mixed = _dealt(in_buckets)
+    pairs = written(_likely_components(blocks.join(sets.select("id", "n", "registers"), "id"), least), "pairs")
+    in_families = _family_members(pairs, roots, sizes)
+    blocks, mixed_families = _dealt(in_families)
+    third = written(_linked_components(blocks.join(sets.select("id", "n", "set"), "id"), least), "third")
     roots = components(third, roots)
-    dropped(spark, leaders, members, named, sets, first, second, pairs, third, *used)
+    dropped(spark, leaders, members, named, sets, first, second, in_buckets, mixed, pairs, in_families, mixed_families, third)
     # back to rows: by set, then by class
-    top = written(ids.select("id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "top")
+    top = written(ids.select("id").join(_of(roots, "id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "top")
     firsts = sketched.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
     by_set = written(firsts.join(top, "id").select("set_a", "set_b", "root"), "by_set")
     dropped(spark, ids, top)
