@@ -449,10 +449,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
-    """The rows of docs that stay: one document for each group of near-duplicates, and one row of repeated rows."""
-    kept = near_duplicates(docs, words, least).where("kept or doc_id is null").select("doc_id").distinct()
-    same = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return same.dropDuplicates(["doc_id"])
+    """The rows of docs that stay: one document for each group of near-duplicates, and one row of repeated rows.
+
+    Texts are shuffled only if more ids go than may be sent to all executors, and those of repeated rows.
+    """
+    found = written(near_duplicates(docs, words, least).select("doc_id", "kept"), "found")
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    few = gone.count() <= MOST_IDS
+    same = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    again = written(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"), F.lit(True).alias("_is")), "again")
+    n = again.count()
+    if not n:
+        return same
+    marked = same.join(F.broadcast(again) if n <= MOST_IDS else again, docs["doc_id"].eqNullSafe(F.col("_again")), "left")
+    once, more = marked.where("_is is null"), marked.where("_is")
+    return once.unionByName(more.dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
