@@ -299,7 +299,7 @@ def test_sources(spark, tmp_path):
     assert names(languages=["Python"]) == ["b.py"]
     assert names(binary=True, minified=True) == ["a.go", "b.py", "bad.go", "bin.go", "min.go"]
     assert names(ignore=["*.py"], exclude=["bad"]) == ["a.go"]
-    r = corpus.files(spark, str(tmp_path), extensions=["go"], exclude=["bad"], most=9).first()
+    r = corpus.files(spark, str(tmp_path), extensions=["go"], exclude=["bad", "min"], most=9).first()
     assert (r.language, r.content, r.bytes) == ("Go", "package a", 9)
     assert corpus.repository_root(str(tmp_path / "src")) == str(tmp_path)
     docs = corpus.from_rows(spark, SIX + [("many", "many", "", "", "1\n2\n3\n4", 0)])

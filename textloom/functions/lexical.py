@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions.languages import SYNTAX, declares, is_declaration_line
+from textloom.session import ship
 
 CODE, COMMENT, STRING, BLANK = "code", "comment", "string", "blank"
 CLASSES = "array<struct<s:int,e:int,cls:string>>"
@@ -120,6 +121,7 @@ def annotated(content: bytes, language: str, spans: list) -> list[dict]:
 
 
 def byte_classes(content: Column, language: Column) -> Column:
+    ship()
     @F.pandas_udf(CLASSES)
     def found(texts: pd.Series, languages: pd.Series) -> pd.Series:
         return pd.Series([[{"s": s, "e": e, "cls": c} for s, e, c in classes(t.encode("utf-8", "surrogatepass"), k)] for t, k in zip(texts, languages, strict=True)], dtype=object)
@@ -128,6 +130,7 @@ def byte_classes(content: Column, language: Column) -> Column:
 
 
 def code_stats(content: Column, language: Column) -> Column:
+    ship()
     @F.pandas_udf(STATS)
     def counted(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
         names = ["lines", "code", "comment", "blank", "complexity"]
@@ -137,6 +140,7 @@ def code_stats(content: Column, language: Column) -> Column:
 
 
 def annotate(content: Column, language: Column, locations: Column) -> Column:
+    ship()
     @F.pandas_udf(ANNOTATED)
     def noted(texts: pd.Series, languages: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([annotated(t.encode("utf-8", "surrogatepass"), k, list(x) if x is not None else []) for t, k, x in zip(texts, languages, spans, strict=True)], dtype=object)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.languages import STOPWORDS
 from textloom.operators.postings import words
+from textloom.session import ship
 
 #: The constants of the scores.
 DEFAULT_SCORE, LOCATION, DEPTH, STOPWORD = 0.01, 0.15, 0.02, 0.1
@@ -168,6 +169,7 @@ def gaps_of(spans: list, terms: list[str]) -> list[dict]:
 
 
 def gaps(locations: Column, terms: list[str]) -> Column:
+    ship()
     @F.pandas_udf("array<struct<a:int,b:int,gap:int>>")
     def found(spans: pd.Series) -> pd.Series:
         return pd.Series([gaps_of(list(x), terms) for x in spans], dtype=object)
