@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parents[2]
+from textloom.session import ship
+
 #: Rows and bytes of one Arrow batch sent to Python, so that a worker's memory doesn't grow with the partition.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -26,16 +24,7 @@ def prepare(spark: SparkSession) -> None:
     ):
         if spark.sparkContext.getConf().get(key, None) is None:
             spark.conf.set(key, str(value))
-    path = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    sc = spark.sparkContext
-    if str(ROOT) in path or os.path.realpath(os.getcwd()) == str(ROOT) or getattr(sc, "_textloom_shipped", False):
-        return
-    archive = Path(tempfile.mkdtemp()) / "textloom_src.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in (ROOT / "textloom").rglob("*.py"):
-            z.write(f, f.relative_to(ROOT))
-    sc.addPyFile(str(archive))
-    sc._textloom_shipped = True
+    ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +57,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, *what: Column) -> tuple[DataFrame, list[int]]:
+    """written(), and sums of columns of its rows (at first their number), observed while they are written."""
+    seen = Observation()
+    sums = [F.count(F.lit(1)).alias("n0"), *[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(f"n{i}") for i, c in enumerate(what, 1)]]
+    out = written(df.observe(seen, *sums), name)
+    got = seen.get
+    return out, [got[f"n{i}"] for i in range(len(what) + 1)]
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes what written() made, once nothing reads it again."""
     jvm = spark.sparkContext._jvm

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import dropped, written
+from textloom.llm.common import counted, dropped, written
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -19,11 +19,11 @@ def _roots(parents: DataFrame) -> DataFrame:
     spark = parents.sparkSession
     while True:
         up = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        moved = written(parents.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
-        still = moved.where("moved").limit(1).count()
+        above = parents.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+        moved, (_, n) = counted(above, "roots", F.col("moved"))
         dropped(spark, parents)
         parents = moved.drop("moved")
-        if not still:
+        if not n:
             return parents
 
 
@@ -38,8 +38,9 @@ def _carried(links: DataFrame, roots: DataFrame) -> DataFrame:
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of all nodes of links (a, b) that aren't their own root, and of those known before; written tables."""
     spark = links.sparkSession
-    links = written(_carried(links, known) if known is not None else links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    while links.limit(1).count():
+    first = _carried(links, known) if known is not None else links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links, (n,) = counted(first, "links")
+    while n:
         roots = _roots(written(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "parents"))
         if known is None:
             known = roots
@@ -49,10 +50,10 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
             both = written(old.unionByName(roots), "known")
             dropped(spark, known)
             known = both
-        left = written(_carried(links, roots), "links")
+        left, (n,) = counted(_carried(links, roots), "links")
         dropped(spark, links)
         links = left
-    dropped(spark, links)
     if known is None:
-        known = written(links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), "known")
+        known = written(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "known")
+    dropped(spark, links)
     return known
