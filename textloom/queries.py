@@ -19,6 +19,7 @@ from textloom.functions.matching import levenshtein_bytes, locate
 from textloom.operators import lines, postings, ranking, results, snippets
 from textloom.query.nodes import Keyword, Regex
 from textloom.query.rewrite import positive
+from textloom.session import spread
 from textloom.sources import corpus
 from textloom.streaming import stream
 
@@ -33,7 +34,7 @@ DOCS = """(SELECT coalesce(source,'') || '/' || coalesce(lang,'') || '/' || doc_
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return corpus.documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def add(name: str, query: Query, sql: str | None = None) -> None:

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -27,3 +27,12 @@ def ship(spark: SparkSession | None = None) -> None:
             z.write(f, f.relative_to(ROOT))
     sc.addPyFile(str(archive))
     sc._textloom_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores is dealt out to all of them; a larger one stays as it is and isn't shuffled.
+
+    What is dealt out is below a block of a file for each core, so that this costs little wherever it happens.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
