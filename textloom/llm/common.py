@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.session import ship
+from textloom.session import ship, spread
 
 #: Rows and bytes of one Arrow batch sent to Python, so that a worker's memory doesn't grow with the partition.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -29,7 +29,8 @@ def prepare(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
