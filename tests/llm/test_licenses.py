@@ -55,6 +55,55 @@ def test_against_brute_force(spark, documents, rows):
         assert {k: got[r.doc_id][k] for k in got[r.doc_id].asDict() if k != "doc_id"} == brute(r.text)
 
 
+def samples(parsed) -> list[str]:
+    """Strings that a pattern matches: each alternative is in one of them, each option there in one and missing in another."""
+    out = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                got = [chr(arg)]
+            case "IN":
+                got = sorted({"x" if str(o) == "NEGATE" else chr(a) if str(o) == "LITERAL" else chr(a[0]) for o, a in arg[:1]})
+            case "NOT_LITERAL":
+                got = ["x"]
+            case "BRANCH":
+                got = [x for branch in arg[1] for x in samples(branch)]
+            case "SUBPATTERN":
+                got = samples(arg[3])
+            case "MAX_REPEAT":
+                got = [x * max(1, arg[0]) for x in samples(arg[2])] + ([""] if not arg[0] else [])
+            case _:
+                got = [""]
+        n = max(len(out), len(got))
+        out = [out[i % len(out)] + got[i % len(got)] for i in range(n)]
+    return out
+
+
+BARE = ["Released under BSD-3-Clause.", "2-clause BSD", "FreeBSD", "0BSD", "You may redistribute it under the same terms as Perl itself.", "NASA Open Source Agreement", "MIT No Attribution"]
+
+
+def ungated(monkeypatch, texts: list) -> list[dict]:
+    """The brute force with every rule tried on every text."""
+    given = [r._replace(keyword="") for r in lic.rules()]
+    with monkeypatch.context() as m:
+        m.setattr(lic, "GATE", ("",))
+        m.setattr(lic, "rules", lambda: given)
+        return [brute(t) for t in texts]
+
+
+def test_no_rule_needs_what_the_gate_lacks(spark, monkeypatch, rows):
+    for r in lic.rules():
+        for x in samples(re._parser.parse(r.pattern)):
+            assert re.search(r.pattern, x + " "), (r, x)
+            assert any(g in x for g in lic.GATE) or re.search("cc(?:0| by)", x), (r, x)
+    texts = BARE + TEXTS + [r.text for r in rows]
+    got = sorted(lic.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    want = ungated(monkeypatch, texts)
+    for r in got:
+        assert {k: r[k] for k in r.asDict() if k != "doc_id"} == want[r.doc_id], texts[r.doc_id]
+    assert all(got[i].labels and got[i].score > 0 for i in range(len(BARE)))
+
+
 def test_rules_are_many_and_valid():
     given = lic.rules()
     assert len(given) > 300 and len({r.order for r in given}) == len(given)

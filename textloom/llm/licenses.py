@@ -22,8 +22,8 @@ from textloom.llm.common import table, texts
 #: Words as the text has them, before letters are lower-cased; what parts lower-cased words.
 WORD, GAP = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: A text without any of these has no detection.
-GATE = ("licen", "gpl", "spdx", "copyright", "copyleft", "commons", "domain", "reserved", "wtfpl")
+#: A text without any of these has no detection: each alternative of each rule needs one of them (a test tries them all).
+GATE = ("licen", "gpl", "spdx", "copyright", "copyleft", "commons", "domain", "reserved", "wtfpl", "bsd", "perl", "nasa", "attribution")
 GATE_CC = r"[cC][cC](?:0|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[bB][yY])"
 
 #: label, keyword, identifier as words, name as words.
