@@ -104,6 +104,33 @@ def test_no_rule_needs_what_the_gate_lacks(spark, monkeypatch, rows):
     assert all(got[i].labels and got[i].score > 0 for i in range(len(BARE)))
 
 
+MIT_NOTICE = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+ISC_NOTICE = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice
+appear in all copies."""
+REAL = [
+    (MIT_NOTICE, "mit"), (ISC_NOTICE, "isc"), ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions", "bsd-2"), ("GNU Library General Public License", "lgpl"), ("the Expat license", "mit"),
+    ("you may not use this file except in compliance with the License.", "apache-2"), ("either version 2 of the License, or (at your option) any later version.", "gpl"), ("Zero-Clause BSD", "bsd-0"),
+    ("It is licensed under the following conditions", "unnamed"), ("files licensed under a number of conditions", "unnamed"),
+]
+
+
+def test_every_rule_finds_its_texts(spark, monkeypatch):
+    """Each rule labels each of its alternatives by itself, and real notices are found."""
+    given = lic.rules()
+    found = [(r, x.strip()) for r in given for x in samples(re._parser.parse(r.pattern))]
+    for r, x in found:
+        assert r.keyword in x and "  " not in x, (r, x)
+    texts = sorted({x for _, x in found}) + [t for t, _ in REAL]
+    got = sorted(lic.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect())
+    want = ungated(monkeypatch, texts)
+    for r in got:
+        assert {k: r[k] for k in r.asDict() if k != "doc_id"} == want[r.doc_id], texts[r.doc_id]
+    for r, (text, label) in zip(got[-len(REAL) :], REAL, strict=True):
+        assert label in r.labels.split(","), (text, r.labels)
+
+
 def test_rules_are_many_and_valid():
     given = lic.rules()
     assert len(given) > 300 and len({r.order for r in given}) == len(given)

@@ -28,12 +28,13 @@ GATE_CC = r"[cC][cC](?:0|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[bB][yY])"
 
 #: label, keyword, identifier as words, name as words.
 NAMES = (
-    ("mit", "mit", "mit", r"(?:the )?(?:mit|expat) licen[cs]e"),
+    ("mit", "mit", "mit", r"(?:the )?mit licen[cs]e"),
+    ("mit", "expat", "expat", r"(?:the )?expat licen[cs]e"),
     ("mit-0", "mit", "mit 0", r"mit (?:no attribution|0) licen[cs]e|mit no attribution"),
     ("x11", "x11", "x11", r"x11 licen[cs]e"),
     ("apache-1", "apache", "apache 1 [01]", r"apache (?:software )?licen[cs]e (?:version |v)?1(?: [01])?"),
     ("apache-2", "apache", "apache 2 0", r"apache (?:software )?licen[cs]e (?:version |v)?2(?: 0)?|apache 2(?: 0)? licen[cs]e"),
-    ("bsd-0", "0bsd", "0bsd", r"(?:zero clause bsd|0bsd)(?: licen[cs]e)?"),
+    ("bsd-0", "bsd", "0bsd", r"(?:zero clause bsd|0bsd)(?: licen[cs]e)?"),
     ("bsd-1", "bsd", "bsd 1 clause", r"(?:bsd 1 clause|1 clause bsd)(?: licen[cs]e)?"),
     ("bsd-2", "bsd", "bsd 2 clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?"),
     ("bsd-3", "bsd", "bsd 3 clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?"),
@@ -52,7 +53,7 @@ NAMES = (
     ("gpl-3", "gpl", "gpl 3 0(?: only| or later)?", r"(?:gnu )?gpl ?v?(?:version )?3(?: 0)?|gplv3"),
     ("gpl-3", "general public", "gnu gpl 3", r"gnu general public licen[cs]e (?:version |v)3(?: 0)?"),
     ("lgpl", "lgpl", "lgpl", r"(?:gnu )?lgpl(?: licen[cs]e)?"),
-    ("lgpl", "lesser general", "gnu lgpl", r"gnu (?:lesser|library) general public licen[cs]e"),
+    ("lgpl", "general public", "gnu lgpl", r"gnu (?:lesser|library) general public licen[cs]e"),
     ("lgpl-2.1", "lgpl", "lgpl 2 1(?: only| or later)?", r"(?:gnu )?lgpl ?v?(?:version )?2(?: 1)?"),
     ("lgpl-2.1", "lesser general", "gnu lgpl 2 1", r"gnu lesser general public licen[cs]e (?:version |v)2(?: 1)?"),
     ("lgpl-3", "lgpl", "lgpl 3 0(?: only| or later)?", r"(?:gnu )?lgpl ?v?(?:version )?3(?: 0)?"),
@@ -112,10 +113,10 @@ NOTICES = (
     ("proprietary", "reserved", 2, 0.7, r"(?:copyright (?:c )?(?:[0-9]+ )?(?:[^ ]+ ){0,6})?all rights reserved"),
     ("copyright", "copyright", 1, 0.4, r"copyright (?:c )?[0-9]{4}"),
     ("copyleft", "copyleft", 1, 0.4, r"copyleft"),
-    ("unnamed", "licen", 1, 0.3, r"(?:is |are )?licen[cs]ed under (?:the |an? )?"),
+    ("unnamed", "licen", 1, 0.3, r"licen[cs]ed under(?: the| an?)?"),
     ("unnamed", "licen", 1, 0.3, r"(?:terms|conditions) of (?:this|the) licen[cs]e"),
     ("unnamed", "licen", 1, 0.3, r"see (?:the )?licen[cs]e(?: file)? for"),
-    ("mit", "copyright", 3, 0.9, r"permission is hereby granted free of charge to any person obtaining a copy[^.]{0,80}without restriction[^.]{0,400}copyright notice"),
+    ("mit", "copyright", 3, 0.9, r"permission is hereby granted free of charge to any person obtaining a copy[^.]{0,200}without restriction[^.]{0,400}copyright notice"),
     ("isc", "copyright", 3, 0.9, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
     ("bsd-2", "copyright", 3, 0.8, r"redistributions in binary form must reproduce the above copyright notice"),
     ("apache-2", "licen", 3, 1.0, r"you may not use this file except in compliance with the licen[cs]e"),
