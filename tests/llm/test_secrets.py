@@ -46,6 +46,40 @@ def test_novelty():
     assert s.spans(long + " ")[0].end == len(long)
 
 
+def key(seed: int, n: int, of: str = string.ascii_letters + string.digits) -> str:
+    return "".join(random.Random(seed).choices(of, k=n))
+
+
+def test_private_keys_are_whole():
+    lines = [key(i, 64, string.ascii_letters + string.digits + "+/") for i in range(24)] + ["q7Xk2w=="]
+    for head in ("RSA PRIVATE KEY", "PRIVATE KEY", "ENCRYPTED PRIVATE KEY"):
+        for gap in ("\n", "\r\n", "\\n"):
+            block = gap.join([f"-----BEGIN {head}-----", *lines, f"-----END {head}-----"])
+            assert s.redacted(f"a file:\n{block}\nand more") == "a file:\n[redacted]\nand more"
+            assert not any(x in s.redacted(f'secret = "{block}"') for x in lines)
+    cut = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *lines[:24]])
+    assert s.redacted(cut + "\n\nThe end.") == "[redacted]\n\nThe end."
+    assert s.spans("what begins with -----BEGIN RSA PRIVATE KEY----- is a key and ends with -----END") == []
+    public = block.replace("ENCRYPTED PRIVATE", "PUBLIC")
+    assert not any((x.start, x.end) == (0, len(public)) for x in s.spans(public))
+
+
+def test_both_sides_and_lists():
+    secret = key(1, 20)
+    for text in (f"{secret} # api key", f'{{"value": "{secret}", "name": "API_TOKEN"}}'):
+        assert secret not in s.redacted(text)
+    many = [key(i, 24) for i in range(12)]
+    for text in ("tokens: " + ", ".join(many), ", ".join(many) + " are tokens", "tokens: " + ", ".join([*many[:5], "0123456789abcdef" * 2, *many[5:]])):
+        assert not any(x in s.redacted(text) for x in many)
+    # letters alone, if their case is random
+    letters = [key(i, 32, string.ascii_letters) for i in range(20)]
+    assert all(x not in s.redacted(f"bearer {x} was sent") for x in letters)
+    # numbered names compress against each other; the host of an address is none
+    assert s.spans("tokens: " + ", ".join(f"customer-name-{i}" for i in range(10, 30))) == []
+    assert s.spans("the token was sent to x@mail9.example.com") == []
+    assert s.spans("the secret is in AbstractSingletonProxyFactoryBean of donaudampfschifffahrtsgesellschaft") == []
+
+
 def test_redaction():
     text = 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b'
     assert s.redacted(text) == 'a [redacted]" b'

@@ -1,11 +1,13 @@
 """Secret scans: known forms, and strings that a primed compressor finds new.
 
-Beside the base forms, each run of key characters that stands close behind a sensitive word is a candidate. Its novelty is its
-marginal compressed size: bytes that a zstandard compressor, primed with a dictionary of common identifiers, needs for the text around it
-with the candidate less those without, over the candidate's length. What can't be compressed there, and holds letters and digits, is
-reported.
-
-Defined results: a null or empty text has no spans; a candidate that a base span overlaps is that base span only;
+Beside the base forms, each run of key characters that stands close to a sensitive word, on either side, or close to a secret so
+found (as in a list) is a candidate. Its novelty is its marginal compressed size: bytes that a zstandard compressor, primed with a
+dictionary of common identifiers, needs for the text around it with the candidate less those without, over the candidate's length. What
+can't be compressed there, and holds letters and digits or letters whose case changes as in no identifier, is reported. Letters of one
+case alone are not: words that the dictionary lacks are as new. A PEM block of a private key is one span, from BEGIN to END.
+
+Defined results: a null or empty text has no spans; a candidate that a base span overlaps is that base span only (a PEM block is
+reported all the same); a block without its end is as long as its lines of key characters;
 spans are in code points, end exclusive; texts are searched whole, whatever their length.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -31,9 +34,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: What makes a context sensitive, how near it must be, and what a candidate is made of.
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|signing.?key|credential|bearer|authorization|client.?id|AKIA|BEGIN [A-Z ]*PRIVATE KEY", re.I | re.A)
 REACH, AROUND, LEAST = 64, 192, 12
+#: A private key whole; where its end is missing, its lines.
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?:[\s\\\"'+,]+[A-Za-z0-9+/=]{16,})++)")
+#: What letters of random case have and identifiers rarely: a lone small letter between capitals, several capitals.
+RESTLESS = re.compile(r"[A-Z][a-z](?=[A-Z])|[A-Z]{2,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{%d,}" % LEAST)
 #: Marginal compressed bytes per character from which a string counts as new.
 NOVEL = 0.7
+#: From this on what compresses may do so as alike characters stand around it, not copies: it is tried without the runs around.
+ALIKE = 0.55
+#: The host of an address, which stands behind its @.
+HOST = re.compile(r"(?:[a-z0-9-]+\.)+[a-z]{2,}")
 
 #: Common identifiers and words of code and configuration; the dictionary that primes the compressor.
 IDENTIFIERS = """
@@ -64,9 +75,10 @@ def _compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes per character of text[start:end] against what stands around it."""
-    around = (text[end : end + AROUND] + "\n" + text[max(0, start - AROUND) : start]).encode("utf-8", "surrogatepass")
+def novelty(text: str, start: int, end: int, runs: bool = True) -> float:
+    """Marginal compressed bytes per character of text[start:end] against what stands around it, with or without runs of key characters."""
+    around = text[end : end + AROUND] + "\n" + text[max(0, start - AROUND) : start]
+    around = (around if runs else CANDIDATE.sub(" ", around)).encode("utf-8", "surrogatepass")
     size = _compressor().compress
     return max(0, len(size(around + text[start:end].encode())) - len(size(around))) / (end - start)
 
@@ -79,22 +91,57 @@ def base_spans(text: str) -> list[Span]:
     return found + [Span("hex", m.start(), m.end(), 1.0) for m in HEX.finditer(text)]
 
 
+def _random(own: str) -> bool:
+    """Whether a candidate has letters and digits, or letters whose case changes as in no identifier."""
+    if not any(x.isalpha() for x in own):
+        return False
+    return any(x.isdigit() for x in own) or len(RESTLESS.findall(own)) >= max(2, len(own) / 8)
+
+
 def novel_spans(text: str, known: list[Span]) -> list[Span]:
-    """Candidates that follow a sensitive word closely, overlap nothing known and don't compress."""
-    found: dict[int, Span] = {}
-    taken = sorted((s.start, s.end) for s in known)
-    at = 0
-    for m in SENSITIVE.finditer(text):
-        for c in CANDIDATE.finditer(text, max(at, m.start()), min(len(text), m.end() + REACH)):
-            start, end = c.start(), c.end()
-            if end == m.end() + REACH:
-                end = CANDIDATE.match(text, start).end()
-            at = end
-            own = text[start:end]
-            if not (any(x.isdigit() for x in own) and any(x.isalpha() for x in own)) or any(a < end and start < b for a, b in taken):
-                continue
-            if (new := novelty(text, start, end)) >= NOVEL:
-                found[start] = Span("novel", start, end, new)
+    """PEM blocks, and candidates near a sensitive word or another secret near one that overlap nothing known and don't compress."""
+    words = [(m.start(), m.end()) for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    found = {m.start(): Span("novel", m.start(), m.end(), novelty(text, m.start(), m.end())) for m in PEM.finditer(text)}
+    taken: list[list[int]] = []
+    for start, end in sorted((s.start, s.end) for s in [*known, *found.values()]):
+        if taken and start < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    starts = [t[0] for t in taken]
+    runs = [(m.start(), m.end()) for m in CANDIDATE.finditer(text)]
+
+    @cache
+    def secret(start: int, end: int) -> bool:
+        i = bisect_left(starts, end) - 1
+        if i >= 0 and taken[i][1] > start:
+            return True
+        own = text[start:end]
+        if not _random(own) or (text[start - 1 : start] == "@" and HOST.fullmatch(own)):
+            return False
+        new = novelty(text, start, end)
+        if ALIKE <= new < NOVEL:
+            new = novelty(text, start, end, runs=False)
+        if new >= NOVEL:
+            found[start] = Span("novel", start, end, new)
+            return True
+        return False
+
+    # forwards: what begins within reach of a word or of the last secret; backwards: what ends within reach
+    i, reach = 0, -1
+    for start, end in runs:
+        while i < len(words) and words[i][0] < end:
+            reach, i = max(reach, words[i][1] + REACH), i + 1
+        if start < reach and secret(start, end):
+            reach = max(reach, end + REACH)
+    i, reach = len(words) - 1, len(text) + 1
+    for start, end in reversed(runs):
+        while i >= 0 and words[i][1] > start:
+            reach, i = min(reach, words[i][0] - REACH), i - 1
+        if end > reach and secret(start, end):
+            reach = min(reach, start - REACH)
     return list(found.values())
 
 
