@@ -123,6 +123,27 @@ def test_components(spark):
     assert all(find(x) == got.get(x, x) for x in root)
 
 
+def test_rows_without_an_id_hide_no_links(spark):
+    """Classes of rows with a null doc_id, more copies than any other, between documents that are linked; ids that texts share."""
+    rng = np.random.default_rng(6)
+    data, want = [], {}
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(120)]
+        near = [" ".join(base[:k] + [f"x{g}{k}"] + base[k + 1 :]) for k in (10, 30, 50, 70)]
+        data += [(10 * g + 2, near[0]), (10 * g + 3, near[1])] + [(None, near[2])] * 5 + [(None, near[3])]
+        want |= {10 * g + 2: (10 * g + 2, True), 10 * g + 3: (10 * g + 2, False)}
+    alone = [" ".join(f"y{g}w{i}" for i in range(40)) for g in range(4)]
+    data += [(None, alone[0])] * 2 + [(None, alone[0] + " more"), (5000, alone[1]), (5000, alone[2]), (5001, alone[2])]
+    data = [data[i] for i in rng.permutation(len(data))]
+    got = nd.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == len(data)
+    assert {r.doc_id: (r.component_id, r.kept) for r in got if r.doc_id is not None and r.doc_id < 5000} == want
+    nameless = [r for r in got if r.doc_id is None]
+    assert sum(r.component_id is not None and not r.kept for r in nameless) == 180
+    assert {r.kept for r in nameless if r.component_id is None} == {True, False}
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id and r.doc_id >= 5000) == [(5000, 5000, True), (5000, 5000, True), (5001, 5000, False)]
+
+
 def test_odd_rows(crowded, odd, empty):
     got = nd.near_duplicates(crowded).collect()
     assert len(got) == odd.count() and nd.near_duplicates(empty).count() == 0

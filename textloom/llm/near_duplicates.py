@@ -16,7 +16,9 @@ Shingles are compared by 64-bit hashes.
 
 Defined results: words are runs without ASCII white space, ASCII letters lower-cased; a text with fewer words than a
 shingle has the whole sequence as its one shingle; a null text or one without words has the empty set and is
-linked with nothing; repeated rows of a doc_id have the same component.
+linked with nothing; repeated rows of a doc_id have the same component. Classes are known by their sets, so rows with a null doc_id,
+or different texts with the same one, are linked as others are; a component's id is the smallest doc_id there is in it, null if there
+is none. kept is true for the rows of one doc_id (or null) and set in a component.
 """
 
 from __future__ import annotations
@@ -142,6 +144,12 @@ def linked(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
     return 100 * common >= least * (len(both) - common)
 
 
+def _set_key(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of a set of shingles."""
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+    return int(a), int(b)
+
+
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary())])
 
 
@@ -153,32 +161,34 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for b in batches:
                 for doc_id, text in rows(b, doc_id=pa.int64(), text=pa.binary()):
                     s = shingles(text, words)
-                    key = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                    yield doc_id, len(s), int(key[0]), int(key[1]), registers(s).tobytes()
+                    yield doc_id, len(s), *_set_key(s), registers(s).tobytes()
 
         return emitted(SKETCH, found())
 
     return texts(docs).mapInArrow(each, "doc_id long, n_shingles long, set_a long, set_b long, registers binary")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id, n, registers, set of the documents named in a written table of distinct ids."""
-    few = ids.count() <= MOST_IDS
-    docs = texts(docs).withColumnRenamed("doc_id", "id")
-    chosen = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+def _sets(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """id, n, registers, set of the classes in a written table (id, first, set_a, set_b), from the texts of their first doc_ids."""
+    hint = F.broadcast if named.count() <= MOST_IDS else lambda df: df
+    docs = texts(docs)
+    chosen = docs.join(hint(named.where("first is not null").select(F.col("first").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    if not named.where("first is null").isEmpty():
+        chosen = chosen.unionByName(docs.where("doc_id is null"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("registers", pa.binary()), ("set", pa.binary())])
+        schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("n", pa.int64()), ("registers", pa.binary()), ("set", pa.binary())])
 
         def found() -> Iterator[tuple]:
             for b in batches:
-                for i, text in rows(b, id=pa.int64(), text=pa.binary()):
+                for (text,) in rows(b, text=pa.binary()):
                     s = shingles(text, words)
-                    yield i, len(s), registers(s).tobytes(), s.tobytes()
+                    yield *_set_key(s), len(s), registers(s).tobytes(), s.tobytes()
 
         return emitted(schema, found())
 
-    return chosen.mapInArrow(each, "id long, n long, registers binary, set binary")
+    made = chosen.mapInArrow(each, "set_a long, set_b long, n long, registers binary, set binary").dropDuplicates(["set_a", "set_b"])
+    return made.join(hint(named.select("id", "set_a", "set_b")), ["set_a", "set_b"]).select("id", "n", "registers", "set")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -400,13 +410,18 @@ def _family_members(pairs: DataFrame, roots: DataFrame, sizes: DataFrame) -> Dat
 
 
 def classes(sketched: DataFrame) -> DataFrame:
-    """id (the smallest doc_id), copies, registers of each distinct nonempty set."""
-    found = sketched.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("registers", "doc_id").alias("registers"))
-    return found.select("id", "copies", "registers")
+    """id (a number of its own, once written), set_a, set_b, first (the smallest doc_id, if any), copies, registers of each distinct nonempty set."""
+    found = sketched.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("registers").alias("registers"))
+    return found.select(F.monotonically_increasing_id().alias("id"), "set_a", "set_b", "first", "copies", "registers")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
+    return _decided(docs, words, least).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _decided(docs: DataFrame, words: int, least: int) -> DataFrame:
+    """The rows of near_duplicates with set_a and set_b."""
     spark = docs.sparkSession
     prepare(spark)
     shared_dir(spark)
@@ -418,8 +433,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     leaders = bands.groupBy("key").agg(F.min(F.struct("down", "id")).alias("top"), F.count("*").alias("n")).where("n > 1")
     leaders = written(leaders.select("key", F.col("top.id").alias("leader"), F.col("top.down").alias("down")), "leaders")
     members = written(bands.select("key", "id").join(leaders, "key"), "bucketed")
-    named = written(members.select("id").distinct(), "named")
-    sets = written(_sets(docs, named, words).dropDuplicates(["id"]), "sets")
+    named = written(ids.select("id", "first", "set_a", "set_b").join(members.select("id"), "id", "left_semi"), "named")
+    sets = written(_sets(docs, named, words), "sets")
     sizes = sets.select("id", "n")
     # each class meets the best of its leaders, and then those of other components
     meets = members.where("id != leader")
@@ -438,14 +453,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     third = written(_linked_components(blocks.join(sets.select("id", "n", "set"), "id"), least), "third")
     roots = components(third, roots)
     dropped(spark, leaders, members, named, sets, first, second, in_buckets, mixed, pairs, in_families, mixed_families, third)
-    # back to rows: by set, then by class
-    top = written(ids.select("id").join(_of(roots, "id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "top")
-    firsts = sketched.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
-    by_set = written(firsts.join(top, "id").select("set_a", "set_b", "root"), "by_set")
+    # back to rows: by class, then by set; a component is named by its smallest doc_id, and the class that has it stays
+    top = written(ids.select("id", "first", "set_a", "set_b").join(_of(roots, "id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "top")
+    best = top.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "id")).alias("best"))
+    by_set = written(top.join(best, "root").select("set_a", "set_b", F.col("best.first").alias("component"), (F.col("best.id") == F.col("id")).alias("chosen")), "by_set")
     dropped(spark, ids, top)
     out = sketched.select("doc_id", "n_shingles", "set_a", "set_b").join(by_set, ["set_a", "set_b"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.withColumn("component_id", F.when(F.col("chosen").isNull(), F.col("doc_id")).otherwise(F.col("component")))
+    kept = F.coalesce("chosen", F.lit(True)) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "set_a", "set_b")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
