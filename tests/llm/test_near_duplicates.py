@@ -144,6 +144,14 @@ def test_rows_without_an_id_hide_no_links(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id and r.doc_id >= 5000) == [(5000, 5000, True), (5000, 5000, True), (5001, 5000, False)]
 
 
+def test_repeats_are_told_by_their_texts(spark):
+    """Rows with no id, or the same one, are different documents unless their texts are alike."""
+    text = lambda g, end="": " ".join(f"t{g}w{i}" for i in range(40)) + end
+    given = [(None, text(0)), (None, text(1)), (None, text(1).upper()), (None, text(2)), (None, text(2, " more")), (7, text(3)), (None, text(3)), (8, text(4)), (8, text(5)), (8, text(5)), (9, text(6)), (10, text(6)), (None, ""), (None, ""), (None, " "), (None, None)]
+    left = nd.one_of_each(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, ("none" if r.text is None else r.text.lower()[:4])) for r in left) == sorted([(0, "t0w0"), (0, "t1w0"), (0, "t2w0"), (7, "t3w0"), (8, "t4w0"), (8, "t5w0"), (9, "t6w0"), (0, ""), (0, " "), (0, "none")])
+
+
 def test_odd_rows(crowded, odd, empty):
     got = nd.near_duplicates(crowded).collect()
     assert len(got) == odd.count() and nd.near_duplicates(empty).count() == 0

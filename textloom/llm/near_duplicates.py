@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -464,22 +465,42 @@ def _decided(docs: DataFrame, words: int, least: int) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "set_a", "set_b")
 
 
+def _keyed(docs: DataFrame, words: int) -> DataFrame:
+    """docs with _nd_a and _nd_b, the hash of the text's set, and _nd_blank, the text where that set is empty."""
+
+    @F.pandas_udf("n long, a long, b long")
+    def key(text: pd.Series) -> pd.DataFrame:
+        found = [shingles(t, words) for t in text]
+        return pd.DataFrame([(len(s), *_set_key(s)) for s in found], columns=["n", "a", "b"])
+
+    text = F.col("text").cast("string")
+    docs = docs.withColumn("_nd", key(F.coalesce(text, F.lit("")).cast("binary")))
+    return docs.select("*", F.col("_nd.a").alias("_nd_a"), F.col("_nd.b").alias("_nd_b"), F.when(F.col("_nd.n") == 0, text).alias("_nd_blank"))
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """The rows of docs that stay: one document for each group of near-duplicates, and one row of repeated rows.
 
-    Texts are shuffled only if more ids go than may be sent to all executors, and those of repeated rows.
+    Rows are repeats if they have the same doc_id (or none) and the same set of shingles; where that is empty, the same text. Texts
+    are shuffled only if more ids go than may be sent to all executors, and those of rows without an id of their own.
     """
-    found = written(near_duplicates(docs, words, least).select("doc_id", "kept"), "found")
-    gone = written(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    found = written(_decided(docs, words, least).select("doc_id", "kept", "set_a", "set_b"), "found")
+    again = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"), F.lit(True).alias("_is")), "again")
+    n = again.count()
+    hint = F.broadcast if n <= MOST_IDS else lambda df: df
+    gone = written(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).join(hint(again), F.col("_gone") == F.col("_again"), "left_anti"), "gone")
     few = gone.count() <= MOST_IDS
     same = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = written(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"), F.lit(True).alias("_is")), "again")
-    n = again.count()
-    if not n:
+    if not n and found.where("doc_id is null").isEmpty():
         return same
-    marked = same.join(F.broadcast(again) if n <= MOST_IDS else again, docs["doc_id"].eqNullSafe(F.col("_again")), "left")
-    once, more = marked.where("_is is null"), marked.where("_is")
-    return once.unionByName(more.dropDuplicates(["doc_id"])).select(*docs.columns)
+    marked = same.join(hint(again), docs["doc_id"] == F.col("_again"), "left")
+    shared = F.col("_is").isNotNull() | F.col("doc_id").isNull()
+    decided = found.where("kept").select(F.col("doc_id").alias("_of"), F.col("set_a").alias("_set_a"), F.col("set_b").alias("_set_b"))
+    named = decided.join(hint(again), F.col("_of") == F.col("_again"), "left_semi").unionByName(decided.where("_of is null"))
+    more = _keyed(marked.where(shared), words)
+    more = more.join(named, more["doc_id"].eqNullSafe(F.col("_of")) & (more["_nd_a"] == F.col("_set_a")) & (more["_nd_b"] == F.col("_set_b")), "left_semi")
+    more = more.dropDuplicates(["doc_id", "_nd_a", "_nd_b", "_nd_blank"])
+    return marked.where(~shared).select(*docs.columns).unionByName(more.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
