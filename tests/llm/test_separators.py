@@ -44,12 +44,22 @@ def test_stitching_over_groups_of_blocks(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("block", [50, 1 << 16])
-def test_documents(documents, rows, block):
-    encode = encoder()
-    flat = s.flat_files(documents, block=block).cache()
-    names = flat.where("ordinal is not null").select("file", "ordinal", "doc_id")
-    got = {r.doc_id: r.n_tokens for r in s.scan(flat.where("block is not null")).join(names, ["file", "ordinal"]).collect()}
-    assert got == {r.doc_id: len(encode(r.text or "")) for r in rows}
+def test_documents(spark, documents, rows, block, tmp_path):
+    encode = encoder(special=False)
+    names = {(r.file, r.ordinal): r.doc_id for r in s.flat_files(documents, f"file://{tmp_path}").collect()}
+    (tmp_path / "orphan.bin").write_bytes(b"\x01\x00\x50\xc4")  # of a task that was done again
+    found = s.scan(s.read_blocks(spark, str(tmp_path), block)).collect()
+    assert {names[r.file, r.ordinal]: r.n_tokens for r in found if r.file != "orphan.bin"} == {r.doc_id: len(encode(r.text or "")) for r in rows}
+    # the files hold nothing but ids
+    assert sum(f.stat().st_size for f in tmp_path.glob("0*.bin")) == 2 * sum(len(encode(r.text or "")) + 1 for r in rows)
+
+
+def test_names_of_special_tokens_are_text(spark):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encode = encoder(special=False)
+    assert {r.doc_id: r.n_tokens for r in s.counts(df).collect()} == {i: len(encode(t)) for i, t in enumerate(texts)}
+    assert END_OF_TEXT not in encode(texts[0]).tolist()
 
 
 def test_files_on_disk(spark, tmp_path):
@@ -58,7 +68,7 @@ def test_files_on_disk(spark, tmp_path):
         (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
     got: dict = {}
     for r in s.scan(s.read_blocks(spark, str(tmp_path), 2)).collect():
-        got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.ordinal, r.start, r.n_tokens))
+        got.setdefault(r.file, []).append((r.ordinal, r.start, r.n_tokens))
     assert {k: sorted(v) for k, v in got.items()} == {k: slow(v) for k, v in files.items() if slow(v)}
 
 

@@ -39,9 +39,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where that is unset (tests), a folder of this machine."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset and all runs in one process (tests), a folder of this machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
+    if not found and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = getattr(sc, "_textloom_dir", None) or tempfile.mkdtemp(prefix="textloom-")
         sc._textloom_dir = found
@@ -50,9 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name in the shared folder; what stands there is deleted when the driver's process ends, however it does."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: lineage ends there and a lost executor costs nothing made before."""
-    path = f"{shared_dir(df.sparkSession)}/textloom-{name}-{uuid.uuid4().hex}"
+    path = f"{new_folder(df.sparkSession, name)}/table"
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
@@ -72,7 +83,7 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     jvm = spark.sparkContext._jvm
     for df in tables:
         for f in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(f).getParent()
+            path = jvm.org.apache.hadoop.fs.Path(f).getParent().getParent()
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

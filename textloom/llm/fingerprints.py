@@ -30,6 +30,7 @@ CANDIDATES, BLOCK = 12, 1024
 
 _rng = np.random.default_rng(20240607)
 _ODD = _rng.integers(0, 1 << 32, SKETCHES, dtype=np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, SKETCHES, dtype=np.uint32)
 #: Reused for each block, so that none is allocated anew.
 _buffers = np.empty(SKETCHES * BLOCK, np.uint32), np.empty(SKETCHES * BLOCK, bool)
 EMPTY = np.full(SKETCHES, 0xFFFFFFFF, np.uint32)
@@ -74,6 +75,7 @@ def fingerprint(text: str, k: int = K) -> np.ndarray:
     for i in range(0, n, BLOCK):
         part = h[i : i + BLOCK]
         v = np.multiply(part, _ODD[:, None], out=values[: SKETCHES * len(part)].reshape(SKETCHES, len(part)))
+        v += _ADD[:, None]
         flat = np.flatnonzero(np.less_equal(v, below, out=small[: v.size].reshape(v.shape)))
         row, col = np.divmod(flat, len(part))
         found.append(np.stack([row.astype(np.uint64), v.ravel()[flat].astype(np.uint64), (col + i).astype(np.uint64)]))
@@ -86,7 +88,7 @@ def fingerprint(text: str, k: int = K) -> np.ndarray:
     enough = np.diff(first) >= size
     picked[enough] = col[first[:-1][enough, None] + np.arange(size)]
     for j in np.flatnonzero(~enough):
-        picked[j] = np.lexsort((at, h * _ODD[j]))[:size]
+        picked[j] = np.lexsort((at, h * _ODD[j] + _ADD[j]))[:size]
     picked = np.take_along_axis(picked, np.argsort(at[picked], axis=1), axis=1)
     out = np.full(SKETCHES, size, np.uint32)
     for i in range(size):

@@ -4,12 +4,13 @@ An Aho-Corasick automaton finds the magic bytes of all known formats in one pass
 format then confirms structure and lengths at every hit, which corrects declared types and carves embedded media.
 
 Defined results: a null or empty value is `application/octet-stream` with nothing embedded; a hit that its validator
-refuses counts for nothing; of hits inside a confirmed one, all are kept as embedded, in order of offset.
+refuses counts for nothing; a FLAC stream whose end can't be told from what follows is refused; of hits inside a confirmed one, all are kept as embedded, in order of offset.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,7 +33,7 @@ class Found(NamedTuple):
     length: int
 
 
-def _png(b: bytes, at: int) -> int | None:
+def _png(b: bytes, at: int, seen: dict) -> int | None:
     p = at + 8
     first = True
     while p + 12 <= len(b):
@@ -47,7 +48,7 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, seen: dict) -> int | None:
     if len(b) < at + 13:
         return None
     flags = b[at + 10]
@@ -71,9 +72,11 @@ def _gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(b: bytes, at: int, seen: dict) -> int | None:
+    if "eoi" not in seen:
+        seen["eoi"] = b.rfind(b"\xff\xd9")
     p = at + 2
-    while p + 4 <= len(b):
+    while p + 4 <= len(b) and p <= seen["eoi"]:
         if b[p] != 0xFF:
             return None
         kind = b[p + 1]
@@ -97,7 +100,7 @@ def _jpeg(b: bytes, at: int) -> int | None:
     return None
 
 
-def _riff(b: bytes, at: int) -> int | None:
+def _riff(b: bytes, at: int, seen: dict) -> int | None:
     if len(b) < at + 12:
         return None
     n, kind = struct.unpack_from("<I4s", b, at + 4)
@@ -111,7 +114,7 @@ def _riff(b: bytes, at: int) -> int | None:
     return end + (n & 1 and end < len(b)) - at if p in (end, end + 1) else None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, seen: dict) -> int | None:
     if len(b) < at + 30:
         return None
     n, reserved, start, head = struct.unpack_from("<IIII", b, at + 2)
@@ -120,7 +123,7 @@ def _bmp(b: bytes, at: int) -> int | None:
     return n if ok and (head == 12 or (planes == 1 and bits in (1, 4, 8, 16, 24, 32))) else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _gzip(b: bytes, at: int, seen: dict) -> int | None:
     if len(b) < at + 18 or b[at + 2] != 8 or b[at + 3] & 0xE0:
         return None
     d = zlib.decompressobj(31)
@@ -136,59 +139,179 @@ def _gzip(b: bytes, at: int) -> int | None:
     return min(p, len(b)) - len(d.unused_data) - at if d.eof else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b) or len(b) < at + 30:
+def _archives(b: bytes) -> dict[int, int]:
+    """Where each archive whose end record fits its directory begins and ends; one pass over the value."""
+    out = {}
+    end = b.find(b"PK\x05\x06")
+    while end >= 0:
+        if end + 22 <= len(b):
+            size, start, note = struct.unpack_from("<IIH", b, end + 12)
+            tail = end
+            if 0xFFFFFFFF in (size, start) and b[end - 20 : end - 16] == b"PK\x06\x07":  # the 64-bit record stands before
+                tail = b.rfind(b"PK\x06\x06", max(0, end - 20 - 65536), end - 20)
+                size, start = struct.unpack_from("<QQ", b, tail + 40) if tail >= 0 else (size, start)
+            base = tail - size - start
+            directory = base + start
+            fits = tail >= 0 and 0 <= base <= directory <= tail and end + 22 + note <= len(b)
+            if fits and (size == 0 or b[directory : directory + 4] == b"PK\x01\x02"):
+                out[base] = max(out.get(base, 0), end + 22 + note)
+        end = b.find(b"PK\x05\x06", end + 4)
+    return out
+
+
+def _zip(b: bytes, at: int, seen: dict) -> int | None:
+    if "zip" not in seen:
+        seen["zip"] = _archives(b)
+    end = seen["zip"].get(at)
+    return end - at if end else None
+
+
+_REVISION = re.compile(rb"startxref\s+(\d{1,15})\s+%%EOF")
+_OBJECT = re.compile(rb"\s*(?:xref|\d+\s+\d+\s+obj)")
+
+
+def _pdf(b: bytes, at: int, seen: dict) -> int | None:
+    """Up to the last revision whose cross-references stand where it says, before the next file begins."""
+    if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
         return None
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(b) else None
+    following = b.find(b"%PDF-", at + 5)
+    ends = [m.end() for m in _REVISION.finditer(b, at, following if following >= 0 else len(b)) if int(m[1]) and _OBJECT.match(b, at + int(m[1]), m.start())]
+    if not ends or b.find(b" obj", at, ends[-1]) < 0:
+        return None
+    return ends[-1] - at
+
+
+def _table(bits: int, poly: int) -> list[int]:
+    top, mask = 1 << (bits - 1), (1 << bits) - 1
+    out = []
+    for i in range(256):
+        c = i << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ poly) & mask if c & top else c << 1
+        out.append(c)
+    return out
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    if not (b[at + 5 : at + 8].replace(b".", b"").isdigit() and b" obj" in b[at : at + 2048]):
+#: Polynomials of the checksums of frame heads, frames and pages.
+_CRC8, _CRC16, _CRC32 = _table(8, 0x07), _table(16, 0x8005), _table(32, 0x04C11DB7)
+#: Samples of a frame by code.
+_FRAME = {1: 192, **{i: 576 << (i - 2) for i in range(2, 6)}, **{i: 256 << (i - 8) for i in range(8, 16)}}
+
+
+def _frame_head(b: bytes, p: int) -> tuple[int, int] | None:
+    """Bytes of a frame's head and its samples, if its checksum holds."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFC != 0xF8:
+        return None
+    size, rate = b[p + 2] >> 4, b[p + 2] & 15
+    if not size or rate == 15 or b[p + 3] >> 4 > 10 or b[p + 3] & 1:
         return None
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else None
+    lead = b[p + 4]
+    q = p + 5 + (0 if lead < 0x80 else max(1, 7 - (~lead & 0xFF).bit_length()))
+    if size == 6:
+        samples, q = b[q] + 1 if q < len(b) else 0, q + 1
+    elif size == 7:
+        samples, q = int.from_bytes(b[q : q + 2], "big") + 1, q + 2
+    else:
+        samples = _FRAME[size]
+    q += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if q >= len(b):
+        return None
+    crc = 0
+    for x in b[p:q]:
+        crc = _CRC8[crc ^ x]
+    return (q + 1 - p, samples) if crc == b[q] else None
 
 
-def _flac(b: bytes, at: int) -> int | None:
+def _flac(b: bytes, at: int, seen: dict) -> int | None:
+    """Through all frames by their checksums. The last one's end is where its checksum holds and the stream's samples are complete; refused if
+    that can't be told from what follows."""
     p, last = at + 4, False
     while not last and p + 4 <= len(b):
         kind, n = b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
         if (p == at + 4 and (kind, n) != (0, 34)) or kind == 127 or p + 4 + n > len(b):
             return None
         last, p = bool(b[p] & 0x80), p + 4 + n
-    return len(b) - at if last and b[p : p + 1] == b"\xff" else None
+    if not last:
+        return None
+    most = int.from_bytes(b[at + 15 : at + 18], "big")  # bytes of the largest frame, 0 if unknown
+    total = int.from_bytes(b[at + 21 : at + 26], "big") & 0xFFFFFFFFF
+    done = 0
+    while head := _frame_head(b, p):
+        crc, q, ends = 0, p, []
+        limit = min(len(b), p + most) if most else len(b)
+        done += head[1]
+        while q < limit:
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ b[q]]
+            q += 1
+            if crc == 0 and q >= p + head[0] + 3:
+                if q < len(b) and _frame_head(b, q) and not (total and done >= total):
+                    break
+                ends.append(q)
+        else:
+            if total and done < total:
+                return None
+            if len(b) in ends and not most:
+                return len(b) - at
+            return ends[0] - at if len(ends) == 1 else len(b) - at if len(b) in ends else None
+        p = q
+    return None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
-    p = at
+def _page_holds(b: bytes, p: int, end: int) -> bool:
+    crc = 0
+    for x in b[p : p + 22] + bytes(4) + b[p + 26 : end]:
+        crc = (crc << 8 & 0xFFFFFFFF) ^ _CRC32[crc >> 24 ^ x]
+    return crc == int.from_bytes(b[p + 22 : p + 26], "little")
+
+
+def _ogg(b: bytes, at: int, seen: dict) -> int | None:
+    """Pages whose checksums hold, through streams side by side and one after the other, up to where none is open."""
+    done = seen.setdefault("ogg", {})  # pages inside a file that has been read are no files of their own
+    if any(s < at < e for s, e in done.items()):
+        return None
+    p, running, whole = at, set(), None
     while b[p : p + 5] == b"OggS\0" and p + 27 <= len(b):
-        n = b[p + 26]
-        last = b[p + 5] & 4
-        p += 27 + n + sum(b[p + 27 : p + 27 + n])
-        if p > len(b):
-            return None
-        if last:
-            return p - at
-    return None
+        n, kind, serial = b[p + 26], b[p + 5], b[p + 14 : p + 18]
+        end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+        if end > len(b) or kind > 7 or (bool(kind & 2) == (serial in running)) or not _page_holds(b, p, end):
+            break
+        running.add(serial)
+        if kind & 4:
+            running.discard(serial)
+        p = end
+        if not running:
+            whole = p
+    if whole is None:
+        return None
+    done[at] = whole
+    return whole - at
+
+
+#: Boxes that stand side by side in a file.
+BOXES = frozenset(b"ftyp moov mdat free skip wide udta moof mfra sidx ssix styp pdin meta uuid prft emsg".split())
 
 
-def _mp4(b: bytes, at: int) -> int | None:
+def _mp4(b: bytes, at: int, seen: dict) -> int | None:
     at -= 4
     if at < 0:
         return None
-    p, seen = at, 0
+    p, found = at, set()
     while p + 8 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
-        if n < 8 or p + n > len(b) or not kind.isalnum():
+        least = 8
+        if n == 1 and p + 16 <= len(b):
+            n, least = struct.unpack_from(">Q", b, p + 8)[0], 16
+        elif n == 0 and kind == b"mdat":  # up to the end
+            n = len(b) - p
+        if kind not in BOXES or n < least or p + n > len(b) or (kind == b"ftyp" and p > at):
             break
-        p, seen = p + n, seen + 1
-    return p - at if seen >= 2 else None
+        p += n
+        found.add(kind)
+    return p - at if found & {b"moov", b"moof"} or {b"ftyp", b"mdat"} <= found else None
 
 
 #: Magic bytes of public formats, and the offset at which they stand.
-MAGIC: list[tuple[bytes, str, int, Callable[[bytes, int], int | None]]] = [
+MAGIC: list[tuple[bytes, str, int, Callable[[bytes, int, dict], int | None]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", 0, _png),
     (b"GIF87a", "image/gif", 0, _gif),
     (b"GIF89a", "image/gif", 0, _gif),
@@ -221,10 +344,10 @@ def sniff(value: bytes | None) -> list[Found]:
     """Every confirmed format in a value, by offset."""
     if not value:
         return []
-    found = []
+    found, seen = [], {}  # what validators know of the whole value, so that none searches it for each hit
     for end, (size, kind, shift, check) in automaton().iter(value.decode("latin-1")):
         at = end + 1 - size
-        if (n := check(value, at)) is not None:
+        if (n := check(value, at, seen)) is not None:
             kind = RIFF_KINDS[value[at + 8 : at + 12]] if kind == "riff" else kind
             found.append(Found(kind, at - shift, n))
     return sorted(found, key=lambda x: (x.start, -x.length, x.kind))

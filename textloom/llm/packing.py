@@ -1,7 +1,7 @@
 """Cost-balanced packing of documents into training sequences.
 
 The cost of a sequence is estimated as LINEAR * tokens + QUADRATIC * tokens squared of each piece (attention stays
-inside a document). Whole multiples of the sequence length fill sequences of their own; what remains of each document
+inside a document). Ids are those of the vocabulary file's tokenizer, special strings in a text included. Whole multiples of the sequence length fill sequences of their own; what remains of each document
 is assigned, longest first, to the sequence of lowest cost that has room. A remainder that no sequence has room for is
 cut over the sequences with most room. Windows of WINDOW tokens are packed where they are read, so nothing is
 shuffled, and the one sequence a window leaves unfilled goes on into the next: a partition pads one sequence.

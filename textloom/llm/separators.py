@@ -1,76 +1,112 @@
 """Token counts of documents in flat token files, found by their end-of-document ids.
 
-A flat file is unsigned 16-bit ids without an index, each document followed by the end id. It is read in blocks of
-fixed length that know nothing of documents. Each block is searched with vector operations for end ids and gives its
+A flat file is unsigned 16-bit ids without an index, each document followed by the end id. It is read in ranges of
+fixed length, by offset, that know nothing of documents. Each range is searched with vector operations for end ids and gives its
 own documents' positions, its token count and its last end id; a prefix scan over those few numbers (running sums and
-maxima by file) puts blocks in place and stitches the documents that cross borders.
+maxima by file) puts ranges in place and stitches the documents that cross borders.
+
+Files are opened where they lie by Python's workers: a folder that all share, or what pyarrow opens by its address. A task that
+is done again writes a file of its own; only files that a finished task names are read.
 
 Defined results: a null or empty text is a document of no tokens; tokens after the last end id of a file are no
-document; an empty file has none; blocks of any length, even of one id, give the same counts.
+document; an empty file has none; ranges of any length, even of one id, give the same counts. A string that names the end id is
+ordinary text; a vocabulary with ids above 65,535 is refused.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import batch, emitted, prepare, rows, table, texts, written
+from textloom.llm.common import batch, emitted, new_folder, prepare, rows, table, texts, written
 from textloom.llm.tokens import END_OF_TEXT, encoder
 
 BLOCK_TOKENS = 1 << 16
 #: Blocks of one group of the prefix scan; groups are scanned themselves, so that a file of any length is spread.
 GROUP = 1024
-FLAT = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
+#: Bytes that one task reads, and ids that are held before they are written.
+TASK_BYTES, HELD = 32 << 20, 1 << 20
+NAMES = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
+
 
+def _opened(address: str) -> tuple[fs.FileSystem, str]:
+    local = re.fullmatch(r"(?:file:/*)?(/?.*)", address) if re.match(r"file:|[^:]*$", address) else None
+    return (fs.LocalFileSystem(), "/" + local[1].lstrip("/")) if local else fs.FileSystem.from_uri(address)
 
-def flat_files(docs: DataFrame, path: str | None = None, block: int = BLOCK_TOKENS) -> DataFrame:
-    """A flat file for each partition, as rows (file, block, ids) of block ids each, and beside them rows
-    (file, ordinal, doc_id) that say which document stands where, for results only: the scan doesn't see them."""
+
+def flat_files(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
+    """Writes a flat file for each partition, and gives rows (file, ordinal, doc_id) that say which document stands where: for
+    results only, the scan doesn't see them. Files are written once these rows are."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, encode = TaskContext.get().partitionId(), encoder(path)
+        task = TaskContext.get()
+        name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.bin"
+        encode = encoder(path, special=False)
+        system, at = _opened(folder)
 
         def found() -> Iterator[tuple]:
-            held: list[np.ndarray] = []
-            size = number = ordinal = 0
-            for b in batches:
-                for doc_id, text in rows(b, doc_id=pa.int64(), text=pa.string()):
-                    ids = encode(text).astype("<u2")
-                    held += [ids, np.array([END_OF_TEXT], "<u2")]
-                    size += len(ids) + 1
-                    yield file, None, None, ordinal, doc_id
-                    ordinal += 1
-                    if size >= block:
-                        flat = np.concatenate(held)
-                        whole = len(flat) - len(flat) % block
-                        for i in range(0, whole, block):
-                            yield file, number, flat[i : i + block].tobytes(), None, None
-                            number += 1
-                        held, size = [flat[whole:]], len(flat) - whole
-            if size:
-                yield file, number, np.concatenate(held).tobytes(), None, None
-
-        return emitted(FLAT, found())
-
-    return texts(docs).mapInArrow(each, "file long, block long, ids binary, ordinal long, doc_id long")
-
-
-def read_blocks(spark: SparkSession, path: str, block: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file, block, ids) of flat files in a folder; a file is whole in memory of one task while it is cut."""
+            end = np.array([END_OF_TEXT], "<u2")
+            held, size, ordinal = [], 0, 0
+            with system.open_output_stream(f"{at}/{name}") as out:
+                for b in batches:
+                    for doc_id, text in rows(b, doc_id=pa.int64(), text=pa.string()):
+                        ids = encode(text)
+                        if len(ids) and ids.max() > 0xFFFF:
+                            raise ValueError("the vocabulary has ids that 16 bits don't hold")
+                        held += [ids.astype("<u2"), end]
+                        size += len(ids) + 1
+                        if size >= HELD:
+                            out.write(np.concatenate(held).tobytes())
+                            held, size = [], 0
+                        yield name, ordinal, doc_id
+                        ordinal += 1
+                if held:
+                    out.write(np.concatenate(held).tobytes())
+
+        return emitted(NAMES, found())
+
+    return texts(docs).mapInArrow(each, "file string, ordinal long, doc_id long")
+
+
+def read_blocks(spark: SparkSession, folder: str, block: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks (file, block, ids) of the flat files in a folder, each read by its offset and length."""
     prepare(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    width = 2 * block
+    ranges = files.where("length > 0").select("path", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {width})")).alias("block"))
+    # a task reads some neighbouring blocks of a file
+    together = max(1, TASK_BYTES // (4 * width))
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    ranges = ranges.repartition(parts, "path", F.expr(f"block div {together}"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("ids", pa.binary())])
-        cut = ((f, i // (2 * block), c[i : i + 2 * block]) for b in batches for f, c in rows(b, path=pa.string(), content=pa.binary()) for i in range(0, len(c), 2 * block))
-        return emitted(schema, cut)
 
-    return files.mapInArrow(each, "file string, block long, ids binary")
+        def found() -> Iterator[tuple]:
+            last, opened = None, None
+            for b in batches:
+                for path, length, number in rows(b, path=pa.string(), length=pa.int64(), block=pa.int64()):
+                    if path != last:
+                        if opened:
+                            opened.close()
+                        system, at = _opened(path)
+                        last, opened = path, system.open_input_file(at)
+                    yield path.rsplit("/", 1)[-1], number, opened.read_at(min(width, length - number * width), number * width)
+            if opened:
+                opened.close()
+
+        return emitted(schema, found())
+
+    return ranges.mapInArrow(each, "file string, block long, ids binary")
 
 
 def scan(blocks: DataFrame, end: int = END_OF_TEXT) -> DataFrame:
@@ -110,9 +146,11 @@ def scan(blocks: DataFrame, end: int = END_OF_TEXT) -> DataFrame:
 
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id, file, ordinal, start, n_tokens: documents written as flat files, which are then scanned."""
-    flat = written(flat_files(docs), "flat")
-    names = flat.where("doc_id is not null or block is null").select("file", "ordinal", "doc_id")
-    return scan(flat.where("block is not null")).join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    spark = docs.sparkSession
+    folder = new_folder(spark, "flat")
+    names = written(flat_files(docs, folder), "names")
+    # a file of a task that was done again is in no row of names
+    return scan(read_blocks(spark, folder)).join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
