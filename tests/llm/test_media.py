@@ -50,6 +50,70 @@ def test_broken_structure_is_refused(kind):
     assert not [x for x in m.sniff(SOME[kind][: len(SOME[kind]) * 2 // 3]) if x.kind == kind]
 
 
+def crc(data: bytes, bits: int, poly: int) -> int:
+    """Bit by bit, as the formats define it."""
+    out = 0
+    for x in data:
+        out ^= x << (bits - 8)
+        for _ in range(8):
+            out = (out << 1 ^ poly if out >> (bits - 1) else out << 1) & ((1 << bits) - 1)
+    return out
+
+
+def flac(frames: int = 3, total: bool = True) -> bytes:
+    info = struct.pack(">HH", 192, 192) + bytes(6) + (((16_000 << 44) | (15 << 36) | (192 * frames if total else 0))).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC\x80\0\0\x22" + info
+    for i in range(frames):
+        head = bytes([0xFF, 0xF8, 0x10, 0x08, i])
+        frame = head + bytes([crc(head, 8, 0x07)]) + b"\0\x12\x34"
+        out += frame + crc(frame, 16, 0x8005).to_bytes(2, "big")
+    return out
+
+
+def page(kind: int, serial: int, body: bytes) -> bytes:
+    out = bytearray(b"OggS\0" + bytes([kind]) + bytes(8) + struct.pack("<III", serial, 0, 0) + bytes([1, len(body)]) + body)
+    out[22:26] = struct.pack("<I", crc(bytes(out), 32, 0x04C11DB7))
+    return bytes(out)
+
+
+def test_flac_ends_where_its_samples_do():
+    for made in (flac(), flac(1)):
+        assert [x.length for x in m.sniff(made + b" and prose that follows") if x.kind == "audio/flac"] == [len(made)]
+    assert m.sniff(flac()[:42] + b" a header and prose, but no frame") == []
+    bad = bytearray(flac())
+    bad[-1] ^= 1
+    assert m.sniff(bytes(bad) + b" prose") == []
+
+
+def test_ogg_streams_side_by_side_and_chained():
+    side = page(2, 1, b"a") + page(2, 2, b"b") + page(0, 1, b"c") + page(4, 2, b"d") + page(4, 1, b"e")
+    chained = side + page(2, 3, b"f") + page(4, 3, b"g")
+    assert [tuple(x) for x in m.sniff(b"xx" + chained + b"prose")] == [("audio/ogg", 2, len(chained))]
+    bad = bytearray(side)
+    bad[28] ^= 1
+    assert not [x for x in m.sniff(bytes(bad)) if x.start == 0]
+    assert m.sniff(page(2, 1, b"a") + page(0, 1, b"c") * 50) == []
+
+
+def test_pdf_up_to_its_last_revision():
+    body = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\nstartxref\n9\n%%EOF"
+    update = b"\n2 0 obj\n<<>>\nendobj\nstartxref\n" + str(len(body) + 1).encode() + b"\n%%EOF"
+    two = body + update
+    assert [tuple(x) for x in m.sniff(two + b" prose " + body)] == [("application/pdf", 0, len(two)), ("application/pdf", len(two) + 7, len(body))]
+    assert m.sniff(b"%PDF-1.4 prose\nstartxref\n3\n%%EOF") == []
+
+
+def test_large_boxes_and_many_headers():
+    ftyp = struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0)
+    assert m.sniff(ftyp + struct.pack(">I4sQ", 1, b"mdat", 20) + b"data")[0].length == 36
+    assert m.sniff(ftyp + struct.pack(">I4s", 0, b"mdat") + b"to the end")[0].length == 34
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(2000):
+            z.writestr(f"{i}", "x")
+    assert [tuple(x) for x in m.sniff(out.getvalue())] == [("application/zip", 0, len(out.getvalue()))]
+
+
 def test_damaged_png_and_words_that_look_like_magic():
     bad = bytearray(png())
     bad[20] ^= 1

@@ -4,7 +4,9 @@ An Aho-Corasick automaton finds the magic bytes of all known formats in one pass
 format then confirms structure and lengths at every hit, which corrects declared types and carves embedded media.
 
 Defined results: a null or empty value is `application/octet-stream` with nothing embedded; a hit that its validator
-refuses counts for nothing; a FLAC stream whose end can't be told from what follows is refused; of hits inside a confirmed one, all are kept as embedded, in order of offset.
+refuses counts for nothing; a FLAC stream whose end can't be told from what follows is refused, one that the value's end cuts within
+a frame's head goes up to there; an Ogg stream may begin after its first page, and a page whose checksum is 0, which some writers leave, has
+its structure to stand on; of hits inside a confirmed one, all are kept as embedded, in order of offset.
 """
 
 from __future__ import annotations
@@ -254,10 +256,12 @@ def _flac(b: bytes, at: int, seen: dict) -> int | None:
                 return len(b) - at
             return ends[0] - at if len(ends) == 1 else len(b) - at if len(b) in ends else None
         p = q
-    return None
+    return len(b) - at if p + 6 > len(b) and b[p : p + 2] in (b"\xff\xf8", b"\xff\xf9") else None
 
 
 def _page_holds(b: bytes, p: int, end: int) -> bool:
+    if b[p + 22 : p + 26] == bytes(4):
+        return True
     crc = 0
     for x in b[p : p + 22] + bytes(4) + b[p + 26 : end]:
         crc = (crc << 8 & 0xFFFFFFFF) ^ _CRC32[crc >> 24 ^ x]
@@ -266,14 +270,16 @@ def _page_holds(b: bytes, p: int, end: int) -> bool:
 
 def _ogg(b: bytes, at: int, seen: dict) -> int | None:
     """Pages whose checksums hold, through streams side by side and one after the other, up to where none is open."""
-    done = seen.setdefault("ogg", {})  # pages inside a file that has been read are no files of their own
-    if any(s < at < e for s, e in done.items()):
+    # hits come in order: pages inside a file that has been read, or further on in one that was refused, begin no file of their own
+    read, refused = seen.get("ogg", (0, 0))
+    if at < read or (at < refused and len(b) > at + 5 and not b[at + 5] & 2):
         return None
     p, running, whole = at, set(), None
     while b[p : p + 5] == b"OggS\0" and p + 27 <= len(b):
         n, kind, serial = b[p + 26], b[p + 5], b[p + 14 : p + 18]
         end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if end > len(b) or kind > 7 or (bool(kind & 2) == (serial in running)) or not _page_holds(b, p, end):
+        known = bool(kind & 2) != (serial in running) or (p == at and not kind & 2)
+        if end > len(b) or kind > 7 or not known or not _page_holds(b, p, end):
             break
         running.add(serial)
         if kind & 4:
@@ -281,10 +287,8 @@ def _ogg(b: bytes, at: int, seen: dict) -> int | None:
         p = end
         if not running:
             whole = p
-    if whole is None:
-        return None
-    done[at] = whole
-    return whole - at
+    seen["ogg"] = (whole or read, max(refused, p))
+    return whole - at if whole else None
 
 
 #: Boxes that stand side by side in a file.
