@@ -301,6 +301,10 @@ def test_sources(spark, tmp_path):
     assert names(ignore=["*.py"], exclude=["bad"]) == ["a.go"]
     r = corpus.files(spark, str(tmp_path), extensions=["go"], exclude=["bad", "min"], most=9).first()
     assert (r.language, r.content, r.bytes) == ("Go", "package a", 9)
+    (tmp_path / "src" / "branch.go").write_text("// if for\n" * 20 + "func f() {\n\tif a {\n\t\tfor b {\n\t\t}\n\t}\n}\n")
+    (tmp_path / "src" / "plain.txt").write_text("if\n" * 7)
+    got = {r.filename: (r.complexity, r.language) for r in corpus.files(spark, str(tmp_path), extensions=["go", "txt"]).collect()}
+    assert got["branch.go"] == (2, "Go") and got["plain.txt"][0] == 7 and got["a.go"][0] == 0
     assert corpus.repository_root(str(tmp_path / "src")) == str(tmp_path)
     docs = corpus.from_rows(spark, SIX + [("many", "many", "", "", "1\n2\n3\n4", 0)])
     assert [tuple(x) for x in corpus.file_lines(docs, "many", 2, 3).collect()] == [(2, "2"), (3, "3")]
@@ -319,6 +323,25 @@ def test_streams(spark, six, tmp_path):
     seen = []
     stream.ranked(docs, "cat OR dog", str(tmp_path / "kept"), str(tmp_path / "cp2"), lambda df, n: seen.append({r.path for r in df.collect()}), Options(ranker="bm25")).awaitTermination()
     assert seen[-1] == set(PATHS[:4])
+    scores = []
+    o = Options(ranker="bm25")
+    stream.ranked(docs, "cat OR dog", str(tmp_path / "kept2"), str(tmp_path / "cp3"), lambda df, n: scores.append({r.path: r.score for r in df.collect()}), o).awaitTermination()
+    assert scores[-1] == pytest.approx({r.path: r.score for r in Engine().rank(six, Engine().match(six, "cat OR dog", o), o).collect()})
+
+
+@pytest.mark.parametrize("limit", [0, 3, 10])
+@pytest.mark.parametrize("dedup", [False, True])
+def test_documents_of_one_path(spark, limit, dedup):
+    rows = [("p", "p", "", "txt", "cat", 0), ("p", "p", "", "txt", "dog cat cat", 0), ("p", "p", "", "txt", "cat", 0), ("q", "q", "", "txt", "some Cat", 0), ("r", "r", "", "txt", "none", 0)]
+    got = Engine().search(corpus.from_rows(spark, rows), "cat", Options(limit=limit, dedup=dedup, ranker="bm25")).collect()
+    scores = {r.content: r.score for r in got}
+    if dedup:
+        assert len(got) == 3 and sorted(r.duplicate_count for r in got) == [0, 0, 1] and len(scores) == 3
+    else:
+        assert sorted(r.content for r in got) == (["cat", "cat", "dog cat cat"] if limit == 3 else ["cat", "cat", "dog cat cat", "some Cat"])
+        assert scores["dog cat cat"] != scores["cat"]
+    assert [r.score for r in got] == sorted((r.score for r in got), reverse=True)
+    assert all(len(r.match_locations) == r.content.lower().count("cat") for r in got)
 
 
 def test_postings(six):

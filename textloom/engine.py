@@ -20,13 +20,15 @@ from textloom.operators import snippets as snippet_ops
 from textloom.plans.compile import Compiler, Handler
 from textloom.query.nodes import And, Filter, Keyword, Node, Not, Or, Phrase
 from textloom.query.parser import AND_DEFAULT, InvalidQueryError
-from textloom.query.rewrite import Limits, hint_for_no_results, positive, prepared, terms
+from textloom.query.rewrite import Limits, QueryLimitError, hint_for_no_results, positive, prepared, terms
 
 #: Which matches a search keeps, by the option that says so.
 ONLY = ("code", "comment", "string", "declarations", "usages")
 RANKERS = ("simple", "tfidf", "tfidf_classic", "bm25", "structural", "minimum")
 #: Most distinct terms whose frequency snippets read on the driver: the limit of a query.
 MOST_TERMS = 1000
+#: Results that are broadcast, as narrow rows, to fetch their content; more are joined as the optimizer sees fit.
+MOST_SHOWN = 10_000
 
 
 @dataclass(frozen=True)
@@ -56,6 +58,11 @@ class Found(NamedTuple):
     query: str
 
 
+def row_key() -> Column:
+    """Tells documents of one path apart."""
+    return F.xxhash64("filename", "language", "extension", "complexity", "content")
+
+
 class Engine:
     """Searches documents (path, filename, language, extension, content, complexity). Further filters and words for numbers can be registered."""
 
@@ -93,8 +100,11 @@ class Engine:
             hits = hits.withColumn("match_locations", F.concat("match_locations", more))
         return hits
 
-    def rank(self, docs: DataFrame, found: Found, options: Options = Options(), hits: DataFrame | None = None) -> DataFrame:
-        """path, score, terms, and what hits have but content, of all hits; not sorted."""
+    def rank(self, docs: DataFrame, found: Found, options: Options = Options(), hits: DataFrame | None = None, keep: tuple[str, ...] = (), scanned: int | None = None) -> DataFrame:
+        """path, language, extension, complexity, bytes, score, terms, and the columns to keep, of all hits; not sorted.
+
+        scanned: how many documents were searched, where docs don't hold all of them.
+        """
         if options.ranker not in RANKERS:
             raise ValueError(f"no such ranker: {options.ranker} (one of {', '.join(RANKERS)})")
         nodes = list(positive(found.tree))
@@ -121,10 +131,10 @@ class Engine:
             tf = [post.placed(F.col("match_locations"), t) for t in names] if spans_given else post.frequencies(nodes, names, found.query, whole, options.sensitive)
             here, gaps = None, F.lit(None)
         doubles = F.array(*[c.cast("double") for c in tf]).cast("array<double>")
-        rows = rows.select("path", "language", "extension", "complexity", "bytes", doubles.alias("tf"), *([F.array(*here).cast("array<boolean>").alias("present")] if here is not None else []), gaps.alias("gaps"))
+        rows = rows.select("path", "language", "extension", "complexity", "bytes", *keep, doubles.alias("tf"), *([F.array(*here).cast("array<boolean>").alias("present")] if here is not None else []), gaps.alias("gaps"))
         if here is None:
             rows = rows.withColumn("present", F.transform("tf", lambda x: x > 0))
-        rows = ranking.with_statistics(rows, ranking.statistics(rows, docs, len(names)))
+        rows = ranking.with_statistics(rows, ranking.statistics(rows, docs, len(names), scanned))
         score = {
             "simple": lambda: F.lit(0.0),
             "tfidf": ranking.tfidf,
@@ -135,27 +145,48 @@ class Engine:
         }[options.ranker]()
         labels = F.array(*map(F.lit, names)).cast("array<string>")
         own = F.filter(F.zip_with(labels, "present", lambda t, here: F.when(here, t)), lambda t: t.isNotNull())
-        out = rows.select("path", "language", "extension", "complexity", "bytes", score.alias("score"), F.array_sort(own).alias("terms"))
+        out = rows.select("path", "language", "extension", "complexity", "bytes", score.alias("score"), F.array_sort(own).alias("terms"), *keep)
         return ranking.modified(out, p, ranking.has_test_intent(found.query), options.ranker)
 
     def search(self, docs: DataFrame, query: str, options: Options = Options()) -> DataFrame:
-        """Ranked results with their content and match locations, in order; duplicates by matched text left out if asked."""
+        """Ranked results with their content and match locations, in order; duplicates by matched text left out if asked.
+
+        A row for each result, also where several documents have one path.
+        """
         found = self.match(docs, query, options)
-        hits = self.located(found, options)
-        ranked = self.rank(docs, found, options, hits)
-        rest = hits.select("path", "filename", "content", "match_locations")
+        if options.limit <= 0:
+            hits = self.located(found, options).withColumn("_row", row_key())
+            more = ("filename", "content", "match_locations", "_row")
+            return results.top(self._once(self.rank(docs, found, options, hits, more), options), 0, options.offset).drop("_row")
+        # narrow rows are ranked; content is fetched, and places are sought in it, for what is shown only
+        found = found._replace(hits=found.hits.withColumn("_row", row_key()))
         if options.dedup:
-            hashed = rest.select("path", results.match_hash(F.col("content"), F.col("match_locations")).alias("match_hash"))
-            ranked = results.deduplicated(ranked.join(hashed, "path"))
+            ranked = self._once(self.rank(docs, found, options, self.located(found, options), ("match_locations", "content", "_row")), options)
+            ranked = ranked.drop("match_locations", "content")
+        else:
+            ranked = self.rank(docs, found, options, keep=("_row",))
         first = results.top(ranked, options.limit, options.offset)
-        # content is fetched for what is shown only
-        return results.top(first.join(rest, "path")) if options.limit > 0 else results.top(ranked.join(rest, "path"))
+        # documents alike in all columns have one key: they are fetched once and shown as often as they are among the first
+        same = [c for c in first.columns if c not in ("path", "_row")]
+        first = first.groupBy("path", "_row").agg(*[F.first(c).alias(c) for c in same], F.count("*").cast("int").alias("_times"))
+        rest = found.hits.select("path", "_row", "filename", "content")
+        rest = rest.join(F.broadcast(first) if options.limit <= MOST_SHOWN else first, ["path", "_row"]).dropDuplicates(["path", "_row"])
+        shown = self.located(found._replace(hits=rest), options)
+        shown = shown.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times")))
+        return results.top(shown.select("path", *same, "filename", "content", "match_locations"))
+
+    def _once(self, ranked: DataFrame, options: Options) -> DataFrame:
+        if not options.dedup:
+            return ranked
+        return results.deduplicated(ranked.withColumn("match_hash", results.match_hash(F.col("content"), F.col("match_locations"))))
 
     def rendered(self, shown: DataFrame, mode: str = "auto", length: int = 300, surround: int = 2, count: int = 1, before: int = 0, after: int = 0, line_limit: int = 0) -> DataFrame:
         """Results with what of them is shown: lines for code and snippets for prose (auto), or one of lines, snippet, grep."""
         if mode == "grep":
             return line_ops.with_gaps(line_ops.grep(shown, line_limit, before, after))
-        counts = shown.select(F.explode("match_locations").alias("x")).groupBy("x.term").count().limit(MOST_TERMS).collect()
+        counts = shown.select(F.explode("match_locations").alias("x")).groupBy("x.term").count().limit(MOST_TERMS + 1).collect()
+        if len(counts) > MOST_TERMS:
+            raise QueryLimitError(f"snippets show at most {MOST_TERMS} distinct terms")
         frequency = {r["term"]: r["count"] for r in counts}
         content, places = F.col("content"), F.col("match_locations")
         prose = F.col("extension").isin(*sorted(PROSE)) if mode == "auto" else F.lit(mode == "snippet")

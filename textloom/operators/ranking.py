@@ -78,13 +78,15 @@ class MinimumProfile:
     weights: Weights = Weights(1.0, 0.3, 0.5)
 
 
-def statistics(rows: DataFrame, docs: DataFrame, terms: int) -> DataFrame:
+def statistics(rows: DataFrame, docs: DataFrame, terms: int, scanned: int | None = None) -> DataFrame:
     """One row: scanned (all documents searched), avg_words of those that matched, df of each term among them.
 
-    rows: bytes, present (array of whether each term stands there).
+    rows: bytes, present (array of whether each term stands there). scanned, where it is known, is not counted.
     """
     df = [F.coalesce(F.sum(F.get("present", F.lit(i)).cast("long")), F.lit(0)) for i in range(terms)]
     own = rows.agg(F.coalesce(F.avg(words()), F.lit(1.0)).alias("avg_words"), F.array(*df).cast("array<bigint>").alias("df"))
+    if scanned is not None:
+        return own.withColumn("scanned", F.lit(scanned).cast("long"))
     return docs.agg(F.count("*").alias("scanned")).crossJoin(F.broadcast(own))
 
 

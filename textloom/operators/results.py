@@ -69,12 +69,14 @@ def match_hash(content: Column, locations: Column) -> Column:
 def deduplicated(df: DataFrame) -> DataFrame:
     """The first of the results with the same match_hash, with how many more there are; those without a hash all stay.
 
-    Two aggregations by hash, which combine before they shuffle, and no window over a hash that many share.
+    Rows are told apart as rows, so that several may have one path. One aggregation by hash, which combines before it shuffles, and
+    no window over a hash that many share.
     """
-    keyed = df.withColumn("_key", F.when(F.col("match_hash") == "", F.concat(F.lit("path:"), "path")).otherwise(F.col("match_hash")))
-    best = keyed.groupBy("_key").agg(F.min(F.struct((-F.col("score")).alias("down"), F.col("path"))).alias("_best"), (F.count("*") - 1).alias("duplicate_count"))
-    best = best.select(F.col("_best.path").alias("path"), "duplicate_count")
-    return df.join(best, "path")
+    alone = F.concat(F.lit("row:"), F.monotonically_increasing_id())
+    keyed = df.select(F.struct("*").alias("_kept"), F.when(F.col("match_hash") == "", alone).otherwise(F.col("match_hash")).alias("_key"))
+    first = F.struct((-F.col("_kept.score")).alias("down"), F.col("_kept.path").alias("path"), *[F.col("_kept._row").alias("row")] * ("_row" in df.columns))
+    best = keyed.groupBy("_key").agg(F.min_by("_kept", first).alias("_kept"), (F.count("*") - 1).alias("duplicate_count"))
+    return best.select("_kept.*", "duplicate_count")
 
 
 def duplicate_locations(df: DataFrame) -> DataFrame:

@@ -105,6 +105,8 @@ def files(spark: SparkSession, root: str, extensions: list[str] | None = None, l
 
     extensions are matched in their case; exclude holds texts that no path may contain, ignore globs that no run of its segments may match.
     """
+    from textloom.functions.languages import SYNTAX
+    from textloom.functions.lexical import code_stats
     from textloom.functions.patterns import path_glob_regex
 
     if languages:
@@ -126,7 +128,9 @@ def files(spark: SparkSession, root: str, extensions: list[str] | None = None, l
     df = text_only(df, binary, minified)
     name = F.element_at(F.split("path", "/"), -1)
     df = df.select("path", name.alias("filename"), extension_of(name).alias("extension"), F.make_valid_utf8(F.col("raw").cast("string")).alias("content"), F.octet_length("raw").cast("long").alias("bytes"))
-    df = df.withColumn("language", language_of("filename", "extension")).withColumn("complexity", newlines("content"))
+    df = df.withColumn("language", language_of("filename", "extension"))
+    known = F.col("language").isin(*sorted(SYNTAX))
+    df = df.withColumn("complexity", F.when(known, code_stats(F.col("content"), F.col("language"))["complexity"]).otherwise(newlines("content")))
     return df.select("path", "filename", "language", "extension", "content", "complexity", "bytes")
 
 
