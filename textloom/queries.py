@@ -55,6 +55,7 @@ def has(term: str) -> str:
 
 # --- predicates
 matching("kw_and", "thintion menttre", f"{has('thintion')} AND {has('menttre')}")
+matching("kw_and_both", "enein enung", f"{has('enein')} AND {has('enung')}")
 matching("kw_or", "thintion OR menttre", f"{has('thintion')} OR {has('menttre')}")
 matching("kw_not", "license NOT thintion", f"{has('license')} AND NOT {has('thintion')}")
 matching("kw_default_or", "thintion einlich", f"{has('thintion')} OR {has('einlich')}", default_operator="or")
@@ -67,6 +68,7 @@ matching("regex_match", r"/[A-Z][a-z]+ion\b/", r"regexp_matches(content, '[A-Z][
 matching("regex_anchored", r"/^The [a-z]+/", "regexp_matches(content, '^The [a-z]+')")
 matching("regex_end", r"/th\.$/", r"regexp_matches(content, 'th\.$')")
 matching("regex_class", "/[[:upper:]]{5}[[:digit:]]/", "regexp_matches(content, '[[:upper:]]{5}[[:digit:]]')")
+matching("regex_class_word", "/[[:upper:]][[:lower:]]{9}[[:space:]]/", "regexp_matches(content, '[[:upper:]][[:lower:]]{9}[[:space:]]')")
 matching("regex_invalid", "/(?=the)/", "false")
 matching("filter_lang", "lang=de", "language = 'de'")
 matching("filter_lang_multi", "lang=de,FR", "language IN ('de', 'fr')")
@@ -331,6 +333,18 @@ add("term_gaps", lambda s, d: corpus.from_rows(s, SIX).select("path", F.inline(r
     "SELECT path, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(gap AS INTEGER) AS gap FROM (VALUES ('src/main/file1.go',1,2,1), ('src/main/file2.go',0,2,20), ('pkg/search/file3.py',0,1,1)) t(path, a, b, gap)")
 
 
+def _one_path(s: SparkSession, d: str, limit: int) -> DataFrame:
+    """A search of documents of which many have one path."""
+    base = docs(s, d).withColumn("path", F.concat("language", F.lit(".txt")))
+    found = Engine().search(base, "enein OR enung", Options(ranker="simple", phrase_boost=False, limit=limit))
+    return found.select("path", "filename", F.size("match_locations").cast("long").alias("n"))
+
+
+_count = "CAST((strlen(lower(content)) - strlen(replace(lower(content), '{0}', ''))) / 5 AS BIGINT)".format
+add("search_shared_paths", lambda s, d: _one_path(s, d, 0), f"SELECT language || '.txt' AS path, filename, {_count('enein')} + {_count('enung')} AS n FROM {DOCS} WHERE {has('enein')} OR {has('enung')}")
+add("search_shared_paths_first", lambda s, d: _one_path(s, d, 1000000), ORACLE["search_shared_paths"])
+
+
 # --- streams
 def _streamed(s: SparkSession, d: str) -> DataFrame:
     """What a stream of the documents matches, once it has read all there is; kept in the folder that executors share."""
