@@ -136,3 +136,23 @@ def test_odd_rows(spark, crowded, odd, empty):
         assert module.score(empty, module.learn(empty, none)).count() == 0
     assert t.clean(crowded, t.learn(crowded, none)).columns == crowded.columns
     assert t.clean(odd.withColumn("text", F.lit(None).cast("string")), t.Model(-3.0, {})).count() == odd.count()
+
+
+def test_a_mention_shares_no_weight_with_toxic_words():
+    """Toxic words begin as a group's name does: with the penalty, the name alone scores no more than a text without it."""
+    rng = np.random.default_rng(4)
+    y, texts = [], []
+    for _ in range(600):
+        toxic = rng.random() < 0.4
+        texts.append(" ".join([*rng.choice(list("abcdefgh"), 5), *(["womrot", "muslop"] if toxic else [])]))
+        y.append(int(toxic))
+    hashes = lambda words: np.array(sorted({t.hashed(f) for f in t.features(words)}), np.int32)
+    words = [t.counted(x) for x in texts]
+    own, none = [hashes(w) for w in words], [None] * len(words)
+
+    def gap(fair: float) -> float:
+        _, weights = t.fit(np.array(y, float), own, none, [hashes(t.mentioned(w)) for w in words], fair)
+        assert sum(weights.get(h, 0.0) for h in hashes(Counter(["womrot"]))) > 1
+        return sum(weights.get(h, 0.0) for h in hashes(Counter(["women"])))
+
+    assert gap(0.0) > 0.3 and abs(gap(t.FAIR)) < 0.1

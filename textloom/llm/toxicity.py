@@ -1,8 +1,9 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A logistic model over words and word beginnings is fitted on labelled documents. In each labelled document that names a group,
-its identity terms are swapped for others of the same kind, and the squared change of score is added to the loss, so
-that naming a group has no weight of its own.
+its identity terms are swapped for others of the same kind; to each other one a mention of a group is added, drawn by a hash of
+its words. The squared change of score is added to the loss, so that naming a group has no weight of its own, nor
+has a beginning of a word that a group's name shares with words of toxic texts.
 
 Learnt on a bounded sample of labelled rows outside the held-out fold (learning.BOUND); every whole text is scored.
 Inputs of a score are words of the text alone.
@@ -44,6 +45,21 @@ IDENTITIES = (
     "disabled blind deaf paralyzed".split(),
     "elderly old young teenage".split(),
     "american mexican chinese russian german french".split(),
+    "frauen männer mädchen jungen".split(),
+    "muslime christen juden hindus buddhisten atheisten".split(),
+    "schwarze weiße asiaten araber afrikaner".split(),
+    "schwule lesben heteros bisexuelle".split(),
+    "einwanderer flüchtlinge einheimische ausländer".split(),
+    "femmes hommes filles garçons".split(),
+    "musulmans chrétiens juifs hindous bouddhistes athées".split(),
+    "noirs blancs asiatiques arabes africains".split(),
+    "homosexuels lesbiennes hétérosexuels bisexuels".split(),
+    "immigrés réfugiés étrangers autochtones".split(),
+    "mujeres hombres niñas niños".split(),
+    "musulmanes cristianos judíos hindúes budistas ateos".split(),
+    "negros blancos asiáticos árabes africanos".split(),
+    "homosexuales lesbianas heterosexuales bisexuales".split(),
+    "inmigrantes refugiados extranjeros nativos".split(),
 )
 SWAP = {t: g[(i + 1) % len(g)] for g in IDENTITIES for i, t in enumerate(g)}
 #: Features kept: the most, and the least likelihood ratio (of the counts in either class) and log odds ratio.
@@ -79,6 +95,14 @@ def swapped(words: Counter) -> Counter | None:
     return out
 
 
+MENTIONS = tuple(SWAP)
+
+
+def mentioned(words: Counter) -> Counter:
+    """A mention of a group, the same for the same words."""
+    return Counter([MENTIONS[crc32(" ".join(sorted(words)).encode("utf-8", "surrogatepass")) % len(MENTIONS)]])
+
+
 class Model(NamedTuple):
     bias: float
     weights: dict[str, float]
@@ -110,7 +134,7 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray | None]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("label", pa.int32()), ("own", pa.list_(pa.int32())), ("other", pa.list_(pa.int32()))])
+    schema = pa.schema([("label", pa.int32()), ("own", pa.list_(pa.int32())), ("other", pa.list_(pa.int32())), ("added", pa.list_(pa.int32()))])
     hashes = lambda words: sorted({hashed(f) for f in features(words)})
 
     def found() -> Iterator[tuple]:
@@ -118,13 +142,16 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for label, text in rows(b, label=pa.int32(), text=pa.string()):
                 words = counted(text)
                 other = swapped(words)
-                yield label, hashes(words), hashes(other) if other else None
+                yield label, hashes(words), hashes(other) if other else None, None if other else hashes(mentioned(words))
 
     return emitted(schema, found(), 200)
 
 
-def fit(y: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None]) -> tuple[float, dict[int, float]]:
-    """Bias, and weights by hash: ridge logistic regression by Newton steps over the surest features, with the counterfactual penalty."""
+def fit(y: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None], added: list[np.ndarray | None] = [], fair: float = FAIR) -> tuple[float, dict[int, float]]:  # noqa: B006
+    """Bias, and weights by hash: ridge logistic regression by Newton steps over the surest features, with the counterfactual penalty.
+
+    other: a text's features with its groups swapped; added: those of a mention added to it.
+    """
     share = (y.sum() + 0.5) / (len(y) + 1)
     if len(y) == 0 or y.min() == y.max():
         return float(np.log(share / (1 - share))), {}
@@ -155,9 +182,12 @@ def fit(y: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None]) ->
     x = matrix(own)
     pairs = [i for i, o in enumerate(other) if o is not None]
     changed = matrix([other[i] for i in pairs]) - x[pairs] if pairs else np.zeros((0, x.shape[1]), np.float32)
+    more = [i for i, o in enumerate(added) if o is not None]
+    if more:  # a feature that the text has already doesn't change
+        changed = np.concatenate([changed, np.maximum(matrix([added[i] for i in more]) - x[more], 0)])
     ridge = np.full(x.shape[1], RIDGE)
     ridge[-1] = 1e-6
-    fixed = np.diag(ridge) + 2 * FAIR * (changed.T @ changed)
+    fixed = np.diag(ridge) + 2 * fair * (changed.T @ changed)
     w = np.zeros(x.shape[1])
     w[-1] = np.log(share / (1 - share))
     for _ in range(12):
@@ -169,10 +199,10 @@ def fit(y: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None]) ->
     return float(w[-1]), dict(zip(kept.tolist(), w[:-1].tolist(), strict=True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, bound: int = BOUND, fair: float = FAIR) -> Model:
     sample = labelled(texts(docs), labels, "toxic", bound)
-    got = sample.select("label", "text").mapInArrow(_extract, "label int, own array<int>, other array<int>").toArrow()
-    bias, weights = fit(np.array(got.column("label").to_pylist(), float), _arrays(got.column("own")), _arrays(got.column("other")))
+    got = sample.select("label", "text").mapInArrow(_extract, "label int, own array<int>, other array<int>, added array<int>").toArrow()
+    bias, weights = fit(np.array(got.column("label").to_pylist(), float), _arrays(got.column("own")), _arrays(got.column("other")), _arrays(got.column("added")), fair)
     if not weights:
         return Model(bias, {})
 
