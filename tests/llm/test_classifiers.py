@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.llm import quality as q
 from textloom.llm import toxicity as t
 from textloom.llm.common import held_out
-from textloom.llm.learning import labelled, unlabelled
+from textloom.llm.learning import labelled
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -35,8 +35,6 @@ def test_samples_are_bounded_and_leave_out_the_fold(documents, spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     ids = [r.doc_id for r in labelled(documents, labels, "toxic", 20).collect()]
     assert len(ids) == 20 and not any(map(fold, ids))
-    more = [r.doc_id for r in unlabelled(documents, 30).collect()]
-    assert len(more) == 30 and not any(map(fold, more))
     assert ids == [r.doc_id for r in labelled(documents, labels, "toxic", 20).collect()]
 
 
@@ -98,22 +96,84 @@ def test_swaps():
 
 def test_quality_on_the_held_out_fold(written_corpus):
     docs, labels = written_corpus
-    p = q.score(docs, q.learn(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
+    measured = q.measured(docs).cache()
+    p = q.score(measured, q.learn(measured, labels)).join(labels, "doc_id").where("held_out").toPandas()
     assert auc(p.score.to_numpy(), p.quality.to_numpy()) > 0.97 and (p.predicted == p.quality).mean() > 0.93
     assert ((p.score >= 0.3) == (p.predicted == 1)).all()
 
 
+def test_quality_learns_nothing_from_negatives(written_corpus):
+    """Labels 0 may go: the same scores."""
+    docs, labels = written_corpus
+    measured = q.measured(docs).cache()
+    one, other = (sorted(map(tuple, q.score(measured, q.learn(measured, k)).collect())) for k in (labels, labels.where("quality = 1")))
+    assert one == other
+
+
+def _edges(x: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(np.sort(x[:, j])[np.ceil(np.arange(1, q.BINS) * len(x) / q.BINS).astype(int) - 1]) for j in range(x.shape[1])]
+
+
+def test_counts_of_all_unlabelled_rows(documents, spark, sf):
+    """Borders, pairs of bins and histograms against numpy over every document outside the fold."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = q.learn(q.measured(documents), labels)
+    rows = [r for r in documents.collect() if not fold(r.doc_id)]
+    x = np.stack([q.steps(np.array(q.statistics((r.text or "").encode()))) for r in rows])
+    edges = _edges(x)
+    assert all((a == b).all() for a, b in zip(got.edges, edges, strict=True))
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    kinds = spark.createDataFrame([(int(r.doc_id in good), v.tolist()) for r, v in zip(rows, x, strict=True)], "kind int, x array<smallint>")
+    counted = q._moments(kinds, edges)
+    marked = np.array([r.doc_id in good for r in rows])
+    for m, own in ((counted[0], x), (counted[1], x[marked]), (counted[2], x[:0])):
+        one = np.zeros((len(own), len(edges) * q.BINS))
+        np.put_along_axis(one, q.cells(own, edges), 1, 1) if len(own) else None
+        assert m.rows == len(own) and (m.pairs == one.T @ one).all()
+    seen = q._histograms(kinds, [got])[0]
+    assert seen[0].sum() == len(x) and seen[1].sum() == marked.sum()
+
+
+def test_steps_keep_order():
+    x = np.sort(np.abs(np.random.default_rng(1).normal(0, 100, 1000)))
+    assert (np.diff(q.steps(x).astype(int)) >= 0).all() and q.steps(np.array([0.0]))[0] == 0
+    assert q.steps(np.array([1.0]))[0] < q.steps(np.array([1.01]))[0]
+
+
 def test_positive_unlabelled_risk():
-    """Positives and a mixture are enough to rank what was never labelled negative."""
+    """Positives and a mixture are enough to rank what was never labelled negative, to find the prior and the scale."""
     rng = np.random.default_rng(0)
-    pos, neg = rng.normal(1, 1, (600, 2)), rng.normal(-1, 1, (300, 2))
-    model = q.fit(pos[:300], np.concatenate([pos[300:], neg]), 0.5)
-    x, y = np.concatenate([rng.normal(1, 1, (500, 2)), rng.normal(-1, 1, (500, 2))]), np.repeat([1, 0], 500)
-    assert auc(model.risen(x), y) > 0.93
-    scaled = model.scaled(x, y)
-    assert abs(scaled.scores(x).mean() - 0.5) < 0.05
-    # without positives, the prior
-    assert np.allclose(q.fit(np.zeros((0, 2)), neg, 0.3).scores(neg), 0.3)
+    draw = lambda pos, neg: q.steps(np.concatenate([rng.normal(12, 1, (pos, 2)), rng.normal(9, 1, (neg, 2))]))
+    p, u = draw(4000, 0), draw(3000, 2000)
+    edges = _edges(u)
+    first, every = q.moments(p[:2000], edges), q.moments(u, edges)
+    at = lambda m, x: np.bincount(np.clip((m.risen(x) + q.SPAN) / (2 * q.SPAN) * q.CLASSES, 0, q.CLASSES - 1).astype(int), minlength=q.CLASSES)
+    other = q.fit(first, every, edges, 0.5)
+    prior = q.class_prior(at(other, p[2000:]), at(other, u))
+    assert abs(prior - 0.6) < 0.06
+    model = q.fit(q.moments(p, edges), every, edges, prior)
+    x, y = draw(1000, 1000), np.repeat([1, 0], 1000)
+    assert auc(model.risen(x), y) > 0.98
+    model = q.scaled(model, at(model, p), at(model, u), prior)
+    assert abs(model.scores(u).mean() - prior) < 0.03 and ((model.scores(x) >= 0.5) == y).mean() > 0.95
+
+
+def test_negative_risk_is_not_left_below_zero():
+    """Few positives, many bins, a prior too high: the unbiased minimum has a negative risk of negatives, the result hardly."""
+    rng = np.random.default_rng(3)
+    p, u = q.steps(rng.normal(12, 2, (40, 6))), q.steps(rng.normal(11, 2, (60, 6)))
+    edges = _edges(u)
+    mp, mu = q.moments(p, edges), q.moments(u, edges)
+
+    def rest(m: q.Model) -> float:
+        return ((m.risen(u) + 1) ** 2).mean() - 0.9 * ((m.risen(p) + 1) ** 2).mean()
+
+    kept, q.STEPS = q.STEPS, 0
+    try:
+        before = rest(q.fit(mp, mu, edges, 0.9))
+    finally:
+        q.STEPS = kept
+    assert before < 0 and rest(q.fit(mp, mu, edges, 0.9)) > before
 
 
 def test_given_tables(spark, sf):
@@ -127,13 +187,14 @@ def test_given_tables(spark, sf):
 def test_odd_rows(spark, crowded, odd, empty):
     none = spark.createDataFrame([], LABELS)
     some = spark.createDataFrame([(5, 1, 1), (7, 0, 0), (8, None, None), (None, 1, 1), (99, 1, 0), (5, 0, 0), (4, 1, 0)], LABELS)
-    for module in (t, q):
+    for module, form in ((t, lambda d: d), (q, q.measured)):
         for labels in (none, some):
-            got = module.score(crowded, module.learn(crowded, labels)).collect()
+            got = module.score(form(crowded), module.learn(form(crowded), labels)).collect()
             assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
             same = {r.score for r in got if r.doc_id in (1, 2)}
             assert len(same) == 1
-        assert module.score(empty, module.learn(empty, none)).count() == 0
+        assert module.score(form(empty), module.learn(form(empty), none)).count() == 0
+    assert {r.score for r in q.score(q.measured(odd), q.learn(q.measured(odd), none)).collect()} == {0.5}
     assert t.clean(crowded, t.learn(crowded, none)).columns == crowded.columns
     assert t.clean(odd.withColumn("text", F.lit(None).cast("string")), t.Model(-3.0, {})).count() == odd.count()
 

@@ -1,7 +1,7 @@
 """Samples of labelled rows for the classifiers.
 
-A classifier is fitted on the driver on a sample of at most `bound` rows (a parameter; the rows of smallest seeded hash of
-doc_id), which every size of input has in the same way. Nothing else is sampled: all documents are scored.
+A classifier takes at most `bound` labelled rows (a parameter; those of smallest seeded hash of doc_id), which every size of
+input has in the same way. Nothing else is sampled: unlabelled documents count all, and all documents are scored.
 """
 
 from __future__ import annotations
@@ -14,14 +14,12 @@ from textloom.llm.common import held_out
 BOUND, SEED = 12_000, 11
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int = BOUND) -> DataFrame:
-    """doc_id, text, label of sampled labelled documents outside the held-out fold. A doc_id labelled twice counts as 1 if either does."""
-    known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
-    known = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(bound)
-    return docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+def known(labels: DataFrame, column: str, bound: int = BOUND) -> DataFrame:
+    """doc_id, label of sampled labelled ids outside the held-out fold. A doc_id labelled twice counts as 1 if either does."""
+    rows = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
+    return rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(bound)
 
 
-def unlabelled(docs: DataFrame, bound: int = BOUND) -> DataFrame:
-    """doc_id, text of sampled documents outside the held-out fold, labelled or not."""
-    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id").limit(bound).distinct()
-    return docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text")
+def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int = BOUND) -> DataFrame:
+    """doc_id, text, label of the documents of known()."""
+    return docs.join(F.broadcast(known(labels, column, bound)), "doc_id").select("doc_id", "text", "label")
