@@ -62,6 +62,16 @@ def test_mix(documents, rows, monkeypatch, shard_rows):
     assert again == {r.doc_id: r.taken for r in got}
 
 
+def test_mix_beyond_the_broadcast(documents, crowded, monkeypatch):
+    """More shards than a broadcast takes: a join by shard, the same rows, null sources too."""
+    monkeypatch.setattr(m, "SHARD_ROWS", 2)
+    one = [sorted(map(str, m.mix(d).collect())) for d in (documents, crowded)]
+    monkeypatch.setattr(m, "MOST_GIVEN", 0)
+    other = [m.mix(d) for d in (documents, crowded)]
+    assert one == [sorted(map(str, d.collect())) for d in other]
+    assert "Broadcast" not in other[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_taken_rows(documents, rows):
     names = documents.columns
     taken = {r.doc_id: r.taken for r in m.mix(documents).collect()}

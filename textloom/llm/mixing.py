@@ -2,11 +2,13 @@
 
 Targets share all words by weight, none above MOST times its source's size. Equal blocks of words are the seats: they
 go to sources by the highest quotients target / (2 * seats + 1), then in the same way, by size, to the shards of each
-source, which gives an integer quota for each shard. Within a shard, documents are taken in a seeded order: whole
-rounds first, then the leading documents up to the quota, the last one in part.
+source, which gives an integer quota for each shard. A shard's documents, end to end in a seeded order, are its blocks,
+of BLOCK words each and in that order. Whole rounds take all of them; the blocks that are left of the quota are the leading ones. Since
+the order is drawn by document, blocks of one document stand together and at most one document of a shard is taken in part.
 
 A source's documents are dealt to shards by a seeded hash, so that a source with a third of all rows is as many groups
-as its rows need; only sums by shard reach the driver, at most MOST_SHARDS and one for each source.
+as its rows need; only sums by shard reach the driver, at most MOST_SHARDS and one for each source. They come back as
+a broadcast up to MOST_GIVEN rows, and by a join that deals both sides by shard beyond that.
 
 Defined results: a null text has no words and none are taken; a null source is a source, last in order; repeated rows
 are dealt alike and ordered by their text's hash; no rows give no rows.
@@ -23,7 +25,7 @@ from textloom.llm.common import prepare, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST, BLOCK, SEED = 3, 16, 7
-SHARD_ROWS, MOST_SHARDS = 1000, 20_000
+SHARD_ROWS, MOST_SHARDS, MOST_GIVEN = 1000, 20_000, 50_000
 
 
 def words(text: Column | str) -> Column:
@@ -110,8 +112,9 @@ def mix(docs: DataFrame, *keep: str, seed: int = SEED) -> DataFrame:
     docs = docs.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), count).cast("int"))
     cells = [tuple(r) for r in docs.groupBy("source", "_shard").agg(F.sum("size")).collect()]
     given = spark.createDataFrame(quotas(cells), "_source string, _cell int, source_size long, target double, _quota long")
-    # one row for each shard: bounded by MOST_SHARDS and the number of sources
-    docs = docs.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_cell")))
+    # one row for each shard: at most MOST_SHARDS and the number of sources
+    given = F.broadcast(given) if len(cells) <= MOST_GIVEN else given.hint("merge")
+    docs = docs.join(given, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_cell")))
     w = Window.partitionBy("source", "_shard").orderBy("_drawn", "doc_id", "_text")
     docs = docs.withColumn("_cell_size", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     docs = docs.withColumn("_before", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
