@@ -179,3 +179,26 @@ def test_highlighting():
     assert as_html("a<b", [(0, 1)]) == "<strong>a</strong>&lt;b"
     assert as_html("") == "" and as_ansi("return x") == "\033[38;5;75mreturn\033[0m x"
     assert "".join(t for t, _ in marked_runs(line, [(0, 3), (2, 9), (99, 120)])) == line
+
+
+def test_fuzzy_pieces_lose_no_text(spark):
+    """Terms with edits of every kind inside longer texts: what goes to Python is all that windows can find."""
+    import random
+
+    from textloom.functions.matching import fuzzy_windows
+    from textloom.plans.compile import Compiler
+    from textloom.query.nodes import Fuzzy
+
+    rng = random.Random(4)
+    texts = ["", "Abc", "KELVIN \u212a", "\u0130stanbul"]
+    for _ in range(400):
+        word = list("Pattern")
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(word))
+            word[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "\u00e9", "N"])
+            word = word or ["p"]
+        texts.append("ab " * rng.randint(0, 3) + "".join(word) + rng.choice(["", " cd efg hi"]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, content string")
+    for term, distance in (("pattern", 1), ("pattern", 2), ("patterns", 2), ("kelvin k", 1), ("ab", 2), ("\u00e9tern", 1)):
+        got = {r.id for r in docs.where(Compiler().column(Fuzzy(term, distance))).collect()}
+        assert got == {i for i, t in enumerate(texts) if len(fuzzy_windows(t.lower().encode(), term.encode(), distance))}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +93,16 @@ class Compiler:
             return F.contains(self.content, F.lit(value))
         return F.contains(F.lower(self.content), F.lit(value.lower()))
 
+    def near(self, value: str, distance: int) -> Column:
+        """What all texts with a fuzzy term hold: one of distance + 1 pieces of the term, since an edit spoils one at most.
+        A term that isn't ASCII, or is too short for pieces, tells nothing."""
+        count = distance + 1
+        if not value.isascii() or len(value) < count:
+            return F.lit(True)
+        cuts = [len(value) * i // count for i in range(count + 1)]
+        found = [self.literal(value[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return reduce(or_, found)
+
     def column(self, node: Node | None) -> Column:
         match node:
             case None:
@@ -111,7 +122,9 @@ class Compiler:
                 if not value:
                     return F.lit(False)
                 # lower-casing may lengthen a text, so that only a far shorter one is out of question
-                return (3 * F.octet_length(self.content) >= len(value.encode())) & fuzzy(F.col(self.content), value, distance, self.sensitive)
+                likely = (3 * F.octet_length(self.content) >= len(value.encode())) & self.near(value, distance)
+                # other texts aren't sent to Python, wherever in the tree this stands
+                return likely & fuzzy(F.when(likely, F.col(self.content)), value, distance, self.sensitive)
             case Filter(field, operator, value):
                 handler = self.handlers.get(field.lower())
                 return F.lit(False) if handler is None else handler(operator, value)

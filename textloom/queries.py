@@ -103,7 +103,10 @@ add("registered_filter", _registered, f"SELECT path FROM {DOCS} WHERE language L
 # one substitution; at either end it may take a byte of a longer character, inside it can't
 _NEAR = ["(?s:.)hintiom", *(f"{'thintiom'[:i]}[\\x00-\\x7F]{'thintiom'[i + 1 :]}" for i in range(1, 7)), "thintio(?s:.)"]
 add("fuzzy1", lambda s, d: Engine().match(docs(s, d), "thintiom~1").hits.select("path"), f"SELECT path FROM {DOCS} WHERE regexp_matches(lower(content), '{'|'.join(_NEAR)}')")
-add("fuzzy2", lambda s, d: Engine().match(docs(s, d), "mentxrx~2").hits.select("path"), None)
+# windows of seven bytes by edit distance; a character of several bytes stands as so many that the term doesn't have
+_BYTES = r"regexp_replace(regexp_replace(regexp_replace(lower(content), '[\x{80}-\x{7FF}]', '##', 'g'), '[\x{800}-\x{FFFF}]', '###', 'g'), '[\x{10000}-\x{10FFFF}]', '####', 'g')"
+add("fuzzy2", lambda s, d: Engine().match(docs(s, d), "mentxrx~2").hits.select("path"),
+    f"SELECT DISTINCT path FROM (SELECT path, c, unnest(range(1, strlen(c) - 5)) AS i FROM (SELECT path, {_BYTES} AS c FROM {DOCS})) WHERE levenshtein(substr(c, i, 7), 'mentxrx') <= 2")
 
 # --- sources
 add("scan_text_filters", lambda s, d: corpus.scanned(docs(s, d)).select("path", "bytes"), f"SELECT path, least(bytes, 1000000) AS bytes FROM {DOCS} WHERE bytes > 0 AND NOT contains(content, chr(0)) AND bytes // (complexity + 1) <= 255")
@@ -192,7 +195,19 @@ ranker("rank_bm25", "bm25", bm25_sql())
 ranker("rank_bm25_precise", "bm25", bm25_sql(0.3, 0.95), ranking.PROFILES["precise"])
 ranker("rank_bm25_broad", "bm25", bm25_sql(2.5, 0.15), ranking.PROFILES["broad"])
 add("rank_structural", lambda s, d: _scores(s, d, Options(ranker="structural", profile=ranking.Profile(1.2, 0.75, 0.0, 100.0, 1.0, 0.0), phrase_boost=False)), f"SELECT path, round(score, 6) AS score FROM {scored_sql(bm25_sql())}")
-add("rank_minimum", lambda s, d: _scores(s, d, Options(ranker="minimum", profile=ranking.Profile(1.2, 0.75, 0.0, 100.0, 1.0, 0.0), phrase_boost=False)), None)
+# places of each term, the least gap of each pair of them, and the weakest pair blended with the mean
+_places = " UNION ALL ".join(
+    f"SELECT path, {k} AS k, s, s + {len(t)} AS e FROM (SELECT path, list_sum(list_transform(parts[1:i], lambda x: strlen(x))) + {len(t)} * (i - 1) AS s FROM (SELECT path, parts, unnest(range(1, len(parts))) AS i FROM (SELECT path, string_split(lower(content), '{t}') AS parts FROM {DOCS})))"
+    for k, t in enumerate(RANKED)
+)
+_ones = "CASE {0} " + " ".join(f"WHEN {k} THEN {bm25_sql().format(tf=f'tf{k}', df=f'df{k}')}" for k in range(len(RANKED))) + " END"
+MINIMUM = f"""WITH places AS ({_places}), gaps AS (
+  SELECT x.path, x.k AS a, y.k AS b, min(greatest(0, CASE WHEN x.s <= y.s THEN y.s - x.e ELSE x.s - y.e END)) AS gap FROM places x JOIN places y ON x.path = y.path AND x.k < y.k GROUP BY ALL),
+  scored AS (SELECT * FROM {scored_sql(bm25_sql())}),
+  weakest AS (SELECT path, min(least({_ones.format('a')}, {_ones.format('b')}) * (1 + 1.5 / (gap / 6.0 + 1))) AS least_pair FROM gaps JOIN scored USING (path) GROUP BY path)
+  SELECT path, round(CASE WHEN least_pair IS NULL THEN score ELSE 0.9 * least_pair + 0.1 * score / ({' + '.join(f'(tf{k} > 0)::INTEGER' for k in range(len(RANKED)))}) END, 6) AS score FROM scored LEFT JOIN weakest USING (path)"""
+add("rank_minimum", lambda s, d: _scores(s, d, Options(ranker="minimum", profile=ranking.Profile(1.2, 0.75, 0.0, 100.0, 1.0, 0.0), phrase_boost=False)),
+    MINIMUM)
 
 FULL = f"""SELECT path, round(score * (1 + ln(1 + complexity)) * least(1, (complexity + 1) / log10(greatest(10, bytes))), 6) AS score FROM {scored_sql(bm25_sql())}"""
 add("rank_full_chain", lambda s, d: _scores(s, d, Options(ranker="bm25", phrase_boost=False)), FULL)
@@ -319,9 +334,11 @@ code_query("content_comment", "comment", "('a/handler.go','handler',3)")
 code_query("content_string", "string", "('a/handler.go','handler',45)")
 code_query("decl_declarations", "declarations", "('a/handler.go','handler',24), ('a/handler_test.go','handler',9), ('b/client.ts','client',13), ('c/util.py','handler',4)")
 code_query("decl_usages", "usages", "('a/handler.go','handler',3), ('a/handler.go','handler',45), ('a/handler.go','handler',55), ('a/handler_test.go','handler',22), ('b/client.ts','client',28), ('b/client.ts','client',38), ('c/util.py','handler',26)")
-add("byte_classes", lambda s, d: corpus.from_rows(s, CODE).select("path", F.inline(byte_classes(F.col("content"), F.col("language")))), None)
-add("code_stats", lambda s, d: corpus.from_rows(s, CODE).select("path", code_stats(F.col("content"), F.col("language")).alias("x")).select("path", "x.*"),
-    "SELECT * FROM (VALUES ('a/handler.go', 5::BIGINT, 4::BIGINT, 1::BIGINT, 0::BIGINT, 0::BIGINT), ('a/handler_test.go', 3, 3, 0, 0, 0), ('b/client.ts', 2, 2, 0, 0, 0), ('c/util.py', 2, 2, 0, 0, 0)) t(path, lines, code, comment, blank, complexity)")
+add("byte_classes", lambda s, d: corpus.from_rows(s, CODE).select("path", F.inline(byte_classes(F.col("content"), F.col("language")))),
+    "SELECT * FROM (VALUES ('a/handler.go',0,18,'comment'), ('a/handler.go',18,44,'code'), ('a/handler.go',44,53,'string'), ('a/handler.go',53,67,'code'), ('a/handler_test.go',0,34,'code'), ('b/client.ts',0,52,'code'), ('c/util.py',0,34,'code')) t(path, s, e, cls)")
+BRANCHES = ("d/branch.go", "branch.go", "Go", "go", "// picks\nfunc pick(a int) {\n\n\tif a > 1 {\n\t\tfor {\n\t\t}\n\t}\n}\n", 0)
+add("code_stats", lambda s, d: corpus.from_rows(s, [*CODE, BRANCHES]).select("path", code_stats(F.col("content"), F.col("language")).alias("x")).select("path", "x.*"),
+    "SELECT * FROM (VALUES ('a/handler.go', 5::BIGINT, 4::BIGINT, 1::BIGINT, 0::BIGINT, 0::BIGINT), ('a/handler_test.go', 3, 3, 0, 0, 0), ('b/client.ts', 2, 2, 0, 0, 0), ('c/util.py', 2, 2, 0, 0, 0), ('d/branch.go', 8, 6, 1, 1, 2)) t(path, lines, code, comment, blank, complexity)")
 add("language_of", lambda s, d: s.createDataFrame([("main.go",), ("Makefile",), ("x.PY",), ("a.b.ts",), ("none",), ("odd.qqq",)], "filename string").withColumn("extension", corpus.extension_of("filename")).withColumn("language", corpus.language_of("filename", "extension")),
     "SELECT * FROM (VALUES ('main.go','go','Go'), ('Makefile','','Makefile'), ('x.PY','py','Python'), ('a.b.ts','ts','TypeScript'), ('none','',''), ('odd.qqq','qqq','')) t(filename, extension, language)")
 add("levenshtein_bytes", lambda s, d: s.createDataFrame([(a, b, levenshtein_bytes(a, b)) for a, b in (("kitten", "sitting"), ("é", "e"), ("", "abc"), ("same", "same"))], "a string, b string, n long"),
