@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from textloom import engine as eng
 from textloom.engine import Engine, InvalidQueryError, Options
+from textloom.functions.matching import locate
 from textloom.operators import lines, postings, ranking, results, snippets
 from textloom.query.nodes import Keyword
 from textloom.query.rewrite import QueryLimitError, positive
 from textloom.query.rewrite import Limits
 from textloom.queries import CODE, SIX
+from textloom.session import BATCH_BYTES, BATCH_ROWS
 from textloom.sources import corpus
 from textloom.streaming import stream
 
@@ -165,6 +168,47 @@ def test_structural_and_minimum(spark, code):
     assert got["n/3"] == pytest.approx(_bm25(1, 3, n, len(near[2][4]) // 2, 45), rel=1e-2)
 
 
+def test_weighed_without_lists_of_places(spark, code, sf):
+    """Ranking by what a text's places weigh gives what lists of all places give, to the last bit."""
+    prose = corpus.documents(spark.read.parquet(f"{sf}/documents.parquet"))
+    odd = [("o/1", "1", "", "", "Σ İ Handler\u0130 handler", 1), ("o/2", "2", "en", "txt", "", 1), ("o/3.go", "3.go", "Go", "go", "/* é handler */ handler client", 1)]
+    both = code.unionByName(prose).unionByName(corpus.from_rows(spark, odd)).coalesce(1).cache()
+    queries = ("handler OR client OR thintion", "/[Hh]andler?/ OR the OR handler", '"return handler" OR thintion menttre', "handlor~1 OR thintion", "lang:Go", "lang:en the")
+    for ranker, weights in (("structural", ranking.Weights()), ("structural", ranking.Weights(only="comment")), ("minimum", ranking.Weights())):
+        rows = [None, None]
+        for query in queries:
+            o = Options(ranker=ranker, weights=weights, profile=FLAT)
+            found = Engine().match(both, query, o)
+            for i, hits in enumerate((None, Engine().located(found, o))):
+                one = Engine().rank(both, found, o, hits).select(F.lit(query).alias("query"), "path", "terms", "score")
+                rows[i] = one if rows[i] is None else rows[i].unionByName(one)
+        got, want = (sorted(map(tuple, r.collect())) for r in rows)
+        assert got == want, (ranker, weights)
+
+
+def test_structural_leaves_prose_out_of_python(spark):
+    docs = spark.sql("SELECT 'a/1.txt' AS path, '1.txt' AS filename, 'en' AS language, 'txt' AS extension, cast(X'616C70686120FF20416C706861' AS string) AS content, 0L AS complexity")
+    # a byte that is no UTF-8 can't be read in Python
+    assert _ranked(docs, "alpha", ranker="structural") == pytest.approx({"a/1.txt": _bm25(2, 1, 1, 6, 6)})
+
+
+def test_searches_send_few_texts_at_once(spark):
+    own = spark.newSession()
+    base = own.createDataFrame([("alpha " * 2000,)] * 3, "content string").select("content", F.explode(F.sequence(F.lit(1), F.lit(1500))))  # 54 MB
+
+    @F.pandas_udf("struct<n:long,size:long>")
+    def batch(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"n": len(texts), "size": texts.str.len().sum()}, index=texts.index)
+
+    try:
+        locate(F.col("content"), [Keyword("alpha")])
+        most = base.repartition(1).select(batch("content").alias("x")).agg(F.max("x.n"), F.max("x.size")).first()
+    finally:
+        spark.createDataFrame([(1,)], "x int")  # the session of the other tests is active again
+    assert most[0] <= BATCH_ROWS
+    assert most[1] <= BATCH_BYTES + 12_000
+
+
 def test_gaps():
     spans = [{"term": t, "s": s, "e": e} for t, s, e in (("a", 0, 50), ("a", 60, 61), ("b", 10, 12), ("b", 70, 75), ("c", 200, 201))]
     assert ranking.gaps_of(spans, ["a", "b", "c"]) == [{"a": 0, "b": 1, "gap": 0}, {"a": 0, "b": 2, "gap": 139}, {"a": 1, "b": 2, "gap": 125}]

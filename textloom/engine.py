@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.languages import PROSE
+from textloom.functions.languages import DECLARATIONS, PROSE, SYNTAX
 from textloom.functions.lexical import annotate
 from textloom.functions.matching import term_of
 from textloom.operators import lines as line_ops
@@ -30,6 +30,9 @@ MOST_TERMS = 1000
 #: Results that are broadcast, as narrow rows, to fetch their content; more are joined as the optimizer sees fit.
 MOST_SHOWN = 10_000
 
+#: Languages of which a text's places differ in what they are part of.
+LEXIS = sorted({*SYNTAX, *DECLARATIONS})
+
 
 @dataclass(frozen=True)
 class Options:
@@ -63,6 +66,10 @@ def row_key() -> Column:
     return F.xxhash64("filename", "language", "extension", "complexity", "content")
 
 
+def _array(columns: list[Column], kind: str) -> Column:
+    return F.array(*[c.cast(kind) for c in columns]).cast(f"array<{kind}>")
+
+
 class Engine:
     """Searches documents (path, filename, language, extension, content, complexity). Further filters and words for numbers can be registered."""
 
@@ -114,24 +121,38 @@ class Engine:
             names.append(found.query)
         p = options.profile
         spans_given = hits is not None
+        classed = options.ranker in ("structural", "minimum")
         if hits is None:
-            hits = self.located(found, options) if options.only or options.ranker in ("structural", "minimum") or not post.countable(nodes) else found.hits
+            hits = self.located(found, options) if options.only or not (classed or post.countable(nodes)) else found.hits
             spans_given = "match_locations" in hits.columns
         if "bytes" not in hits.columns:
             hits = hits.withColumn("bytes", F.octet_length("content").cast("long"))
-        rows = hits
-        if options.ranker in ("structural", "minimum"):
+        rows, counts = hits, lambda: post.frequencies(nodes, names, found.query, whole, options.sensitive)
+        if classed:
             weights = options.weights if options.ranker == "structural" else ranking.MinimumProfile().weights
             raised = ranking.MinimumProfile().declaration if options.ranker == "minimum" else 1.0
+            near = options.ranker == "minimum"
+        if classed and spans_given:
             rows = rows.withColumn("_noted", annotate(F.col("content"), F.col("language"), F.col("match_locations")))
-            tf = [post.weighted(F.col("_noted"), t, weights.of, raised) for t in names]
-            here = [post.placed(F.col("match_locations"), t) > 0 for t in names]
-            gaps = ranking.gaps(F.col("match_locations"), names) if options.ranker == "minimum" else F.lit(None)
+            tf = _array([post.weighted(F.col("_noted"), t, weights.of, raised) for t in names], "double")
+            here = _array([post.placed(F.col("match_locations"), t) > 0 for t in names], "boolean")
+            gaps = ranking.gaps(F.col("match_locations"), names) if near else F.lit(None)
+        elif classed:
+            # where nothing is known of a language all places weigh the same: built-in functions tell, and the text isn't sent to Python
+            plain = not near and post.countable(nodes)
+            alike = ~F.coalesce(F.col("language").isin(*LEXIS), F.lit(False)) if plain else F.lit(False)
+            made = ranking.weighed(F.when(~alike, F.col("content")), F.col("language"), post.distinct_nodes(nodes), whole, weights, raised, options.sensitive, near)
+            rows = rows.withColumn("_weighed", made)
+            tf, here, gaps = F.col("_weighed.tf"), F.col("_weighed.present"), F.col("_weighed.gaps") if near else F.lit(None)
+            if plain:
+                # of all rows, since Spark lower-cases a text once for all terms only where no condition stands before
+                rows = rows.withColumn("_counts", _array(counts(), "double"))
+                tf = F.when(alike, F.transform("_counts", lambda x: x * weights.by_class()["code"])).otherwise(tf)
+                here = F.when(alike, F.transform("_counts", lambda x: x > 0)).otherwise(here)
         else:
-            tf = [post.placed(F.col("match_locations"), t) for t in names] if spans_given else post.frequencies(nodes, names, found.query, whole, options.sensitive)
+            tf = _array([post.placed(F.col("match_locations"), t) for t in names] if spans_given else counts(), "double")
             here, gaps = None, F.lit(None)
-        doubles = F.array(*[c.cast("double") for c in tf]).cast("array<double>")
-        rows = rows.select("path", "language", "extension", "complexity", "bytes", *keep, doubles.alias("tf"), *([F.array(*here).cast("array<boolean>").alias("present")] if here is not None else []), gaps.alias("gaps"))
+        rows = rows.select("path", "language", "extension", "complexity", "bytes", *keep, tf.alias("tf"), *([here.alias("present")] if here is not None else []), gaps.alias("gaps"))
         if here is None:
             rows = rows.withColumn("present", F.transform("tf", lambda x: x > 0))
         rows = ranking.with_statistics(rows, ranking.statistics(rows, docs, len(names), scanned))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.patterns import python_regex
 from textloom.query.nodes import Fuzzy, Keyword, Node, Phrase, Regex
-from textloom.session import ship
+from textloom.session import prepare
 
 SPANS = "array<struct<term:string,s:int,e:int>>"
 
@@ -140,7 +140,7 @@ def phrase_term(query: str) -> str | None:
 
 def locate(text: Column, nodes: list[Node], sensitive: bool = False, query: str | None = None) -> Column:
     """All places of the terms, by term as queried, then start; with a query of several words, of the words as a whole too."""
-    ship()
+    prepare()
     whole = phrase_term(query) if query else None
 
     @F.pandas_udf(SPANS)
@@ -158,7 +158,7 @@ def locate(text: Column, nodes: list[Node], sensitive: bool = False, query: str
 
 def fuzzy(text: Column, term: str, distance: int, sensitive: bool = False) -> Column:
     """Whether a fuzzy term stands in a text."""
-    ship()
+    prepare()
     want = term if sensitive else term.lower()
     raw = want.encode("utf-8", "surrogatepass")
 

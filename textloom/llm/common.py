@@ -10,22 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.session import ship, spread
-
-#: Rows and bytes of one Arrow batch sent to Python, so that a worker's memory doesn't grow with the partition.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-
-
-def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches (unless the session does) and lets workers import this package."""
-    for key, value in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
-    ):
-        if spark.sparkContext.getConf().get(key, None) is None:
-            spark.conf.set(key, str(value))
-    ship(spark)
-
+from textloom.session import prepare, spread
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.session import ship
+from textloom.session import prepare
 
 #: Most matching lines that are looked at, lines of a result, what a match on a line counts, bytes of a term that isn't short.
 MOST_MATCHING, MOST_LINES, PER_MATCH, SHORT = 101, 15, 4.0, 2
@@ -132,7 +132,7 @@ def clusters_of(content: bytes, places: list, count: int = 1, surround: int = 2)
 
 
 def best_lines(content: Column, locations: Column, surround: int = 2) -> Column:
-    ship()
+    prepare()
     @F.pandas_udf(LINES)
     def found(texts: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([best_lines_of(t.encode("utf-8", "surrogatepass"), list(p), surround) for t, p in zip(texts, places, strict=True)], dtype=object)
@@ -141,7 +141,7 @@ def best_lines(content: Column, locations: Column, surround: int = 2) -> Column:
 
 
 def clusters(content: Column, locations: Column, count: int, surround: int = 2) -> Column:
-    ship()
+    prepare()
     @F.pandas_udf(f"array<{LINES}>")
     def found(texts: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([clusters_of(t.encode("utf-8", "surrogatepass"), list(p), count, surround) for t, p in zip(texts, places, strict=True)], dtype=object)

@@ -8,14 +8,18 @@ are one aggregation of one scan; nothing is shuffled by document.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.languages import STOPWORDS
+from textloom.functions.lexical import marks
+from textloom.functions.matching import literal_spans, spans_of
 from textloom.operators.postings import words
-from textloom.session import ship
+from textloom.query.nodes import Node
+from textloom.session import prepare
 
 #: The constants of the scores.
 DEFAULT_SCORE, LOCATION, DEPTH, STOPWORD = 0.01, 0.15, 0.02, 0.1
@@ -23,6 +27,7 @@ EXACT_NAME, PART_OF_NAME, FOLDER_NAME, TEST_INTENT = 1.0, 0.6, 0.6, 1.5
 INTENT_WORDS = frozenset("test assert expect mock stub bench suite spec should".split())
 GRAVITY = {"off": 0.0, "low": 0.2, "default": 1.0, "logic": 1.5, "brain": 2.5}
 NOISE = {"silence": 0.1, "quiet": 0.5, "default": 1.0, "loud": 2.0, "raw": 100.0}
+WEIGHED = "struct<tf:array<double>,present:array<boolean>,gaps:array<struct<a:int,b:int,gap:int>>>"
 
 
 @dataclass(frozen=True)
@@ -61,10 +66,12 @@ class Weights:
     string: float = 0.5
     only: str | None = None
 
-    def of(self, cls: Column) -> Column:
+    def by_class(self) -> dict[str, float]:
         w = {"code": self.code, "comment": self.comment, "string": self.string}
-        if self.only:
-            w = {k: v if k == self.only else 0.0 for k, v in w.items()}
+        return {k: v if k == self.only else 0.0 for k, v in w.items()} if self.only else w
+
+    def of(self, cls: Column) -> Column:
+        w = self.by_class()
         return F.when(cls == "comment", w["comment"]).when(cls == "string", w["string"]).otherwise(w["code"])
 
 
@@ -156,6 +163,11 @@ def gaps_of(spans: list, terms: list[str]) -> list[dict]:
     number = {t: i for i, t in enumerate(terms)}
     for x in spans:
         at.setdefault(number[x["term"]], []).append((x["s"], x["e"]))
+    return gaps_between(at)
+
+
+def gaps_between(at: dict[int, list[tuple[int, int]]]) -> list[dict]:
+    """gaps_of places by the number of their term."""
     out = []
     for a in sorted(at):
         for b in sorted(k for k in at if k > a):
@@ -170,8 +182,35 @@ def gaps_of(spans: list, terms: list[str]) -> list[dict]:
     return out
 
 
+def weighed_of(text: str, language: str, nodes: list[Node], whole: str | None, weights: Weights, raised: float, sensitive: bool, near: bool) -> tuple[list, list, list]:
+    """What weighed() has of one text."""
+    by = weights.by_class()
+    at = [spans_of(text, n, sensitive) for n in nodes] + ([literal_spans(text, whole, False)] if whole else [])
+    found = marks(text.encode("utf-8", "surrogatepass"), language, (s for places in at for s, _ in places))
+    tf = []
+    for places in at:
+        total = 0.0
+        for cls, _, on_declaration in islice(found, len(places)):
+            total += by.get(cls, by["code"]) * (raised if on_declaration else 1.0)
+        tf.append(total)
+    return tf, [bool(places) for places in at], gaps_between({i: places for i, places in enumerate(at) if places}) if near else []
+
+
+def weighed(text: Column, language: Column, nodes: list[Node], whole: str | None, weights: Weights, raised: float = 1.0, sensitive: bool = False, near: bool = False) -> Column:
+    """Weighted frequencies, presence and (if near) gaps of the terms, last of a whole query: the places of one text at a time
+    are in memory, and none leaves Python. Empty for a null text."""
+    prepare()
+
+    @F.pandas_udf(WEIGHED)
+    def found(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
+        rows = [([], [], []) if t is None else weighed_of(t, k, nodes, whole, weights, raised, sensitive, near) for t, k in zip(texts, languages, strict=True)]
+        return pd.DataFrame(rows, columns=["tf", "present", "gaps"], dtype=object)
+
+    return found(text, language)
+
+
 def gaps(locations: Column, terms: list[str]) -> Column:
-    ship()
+    prepare()
     @F.pandas_udf("array<struct<a:int,b:int,gap:int>>")
     def found(spans: pd.Series) -> pd.Series:
         return pd.Series([gaps_of(list(x), terms) for x in spans], dtype=object)

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.operators.lines import SHORT
-from textloom.session import ship
+from textloom.session import prepare
 
 #: Most matches looked at, most snippets, bytes to look for a space, and what scores count.
 MOST_MATCHES, MOST_SNIPPETS, SIDE = 10_000, 20, 10
@@ -88,7 +88,7 @@ def snippets_of(text: bytes, places: list, frequency: dict[str, int], length: in
 
 def snippets(content: Column, locations: Column, frequency: dict[str, int], length: int = 300, count: int = MOST_SNIPPETS) -> Column:
     """The best snippets of each result; frequency: how often each term stands in all results."""
-    ship()
+    prepare()
 
     @F.pandas_udf(SNIPPETS)
     def found(texts: pd.Series, places: pd.Series) -> pd.Series:

@@ -10,6 +10,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
+#: Rows and bytes of one Arrow batch sent to Python, so that a worker's memory doesn't grow with the partition.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def prepare(spark: SparkSession | None = None) -> None:
+    """Bounds Arrow batches (unless the session does) and lets workers import this package."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    for key, value in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
+    ):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
+    ship(spark)
 
 
 def ship(spark: SparkSession | None = None) -> None:
